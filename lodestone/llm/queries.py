@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups all documents by SimHash fingerprints of at most three differing bits."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
     return mixing.mix(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_mixing": op9_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op9_mixing": op9_mixing,
+}
 
 #: None of these can be told in SQL that another engine runs: they need its own hashes, models or tokenizers.  Tests hold
 #: each against a brute-force version.
