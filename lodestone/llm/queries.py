@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash
+from . import mixing, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the secrets in all documents."""
+    return secrets.find_secrets(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -25,6 +30,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
     "op9_mixing": op9_mixing,
 }
 
