@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, simhash
+from . import fingerprints, mixing, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_documents(spark, sf_dir))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints all documents, their edited texts, and the likeness of each to its edited text and to the next one."""
+    return fingerprints.edited_likeness(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -31,6 +36,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_fingerprints": op4_fingerprints,
     "op9_mixing": op9_mixing,
 }
 
