@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, secrets, simhash
+from . import fingerprints, mixing, secrets, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_documents(spark, sf_dir))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts the tokens of all documents."""
+    return tokens.token_counts(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
+    "op7_tokens": op7_tokens,
     "op9_mixing": op9_mixing,
 }
 
