@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, secrets, simhash, tokens
+from . import fingerprints, mixing, packing, secrets, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_documents(spark, sf_dir))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents into sequences of at most 2048 tokens."""
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of all documents."""
     return tokens.token_counts(_documents(spark, sf_dir))
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
+    "op5_packing": op5_packing,
     "op7_tokens": op7_tokens,
     "op9_mixing": op9_mixing,
 }
