@@ -50,7 +50,9 @@ class Encoder:
         """The ids of text; special strings in it are special tokens, as is the library's default."""
         if _OTHER.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode(text, allowed_special=self.special), np.uint32)
+        if any(x in text for x in self.special):
+            return np.array(self.fast.encode(text, allowed_special=self.special), np.uint32)
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
 @cache

@@ -31,10 +31,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, level: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage; lost executors lose none of it."""
     path = f"{checkpoint_dir(df.sparkSession)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, secrets, simhash, tokens
+from . import fingerprints, mixing, packing, secrets, shards, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir))
 
 
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents in training order and returns the index of the shards."""
+    return shards.materialise(_documents(spark, sf_dir))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
     return mixing.mix(_documents(spark, sf_dir))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op7_tokens": op7_tokens,
+    "op8_shards": op8_shards,
     "op9_mixing": op9_mixing,
 }
 
