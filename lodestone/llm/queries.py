@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, secrets, shards, simhash, tokens
+from . import fingerprints, mixing, packing, quality, secrets, shards, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures all documents and judges each by the rules and its group's thresholds."""
+    return quality.judged(_documents(spark, sf_dir))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of all documents."""
     return tokens.token_counts(_documents(spark, sf_dir))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_tokens": op7_tokens,
     "op8_shards": op8_shards,
     "op9_mixing": op9_mixing,
