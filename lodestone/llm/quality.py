@@ -24,7 +24,7 @@ ENOUGH = 200
 #: A measure fails beyond FENCE interquartile ranges from the quartiles, and never within slack of them.
 FENCE = 3.0
 #: Measure: (slack, whether low values fail too).
-MEASURES = {"symbols_per_word": (0.1, False), "dup_line_share": (0.3, False), "chars_per_word": (1.5, True), "repeat_share": (0.2, False)}
+MEASURES = {"symbols_per_word": (0.1, False), "dup_line_share": (0.4, False), "chars_per_word": (1.5, True), "repeat_share": (0.3, False)}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SPACE = " \t\n\v\f\r"
 
