@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lines, mixing, packing, quality, secrets, shards, simhash, tokens
+from . import fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels all documents with a network that is trained on those that aren't held out."""
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups all documents by SimHash fingerprints of at most three differing bits."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
@@ -59,6 +64,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
