@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import small_batches
 
@@ -23,6 +25,9 @@ HIDDEN, WINDOW, BATCH = 12, 128, 2_048
 SAMPLE, CUTS = 1_500, 4
 STEPS, STEP_WINDOWS, RATE, SEED = 450, 192, 0.02, 7
 UNKNOWN = "und"
+#: The score that accepted() asks for: with two languages or more, a text that is like none of them stays below it only
+#: if all are about as likely, so short texts in a known language stay.
+LEAST = 0.3
 
 
 @dataclass
@@ -235,6 +240,33 @@ def _read(text: str) -> bytes:
     return text.lower().encode()
 
 
+def _labelled(labeller: Labeller | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The label and score of each text."""
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    there = [i for i, t in enumerate(texts) if labeller and t and any(map(str.isalpha, t))]
+    for i, p in zip(there, labeller.pooled([_read(texts[i]) for i in there]) if there else ()):
+        k = int(p.argmax())
+        names[i], scores[i] = labeller.labels[k], min(1.0, float(p[k]))
+    return names, scores
+
+
+def accepted(docs: DataFrame, least: float = LEAST, network: Network | None = None) -> DataFrame:
+    """The rows of docs whose text is in a language that was learned, by a score of least at least.  Columns as in docs.
+
+    Null texts and texts without a letter go; where nothing could be learned, all go.  For the cases see identify().
+    """
+    network = network or fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = network and network.prepared()
+        for texts in batches:
+            yield pd.Series(_labelled(labeller, [None if t is None else str(t) for t in texts])[1], dtype="float64")
+
+    return docs.where(score(F.col("text")) >= least)
+
+
 def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score.
 
@@ -249,14 +281,7 @@ def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = network and network.prepared()
         for some in batches:
-            texts = [t if t and any(map(str.isalpha, t)) else None for t in some.column("text").to_pylist()]
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            if labeller:
-                there = [i for i, t in enumerate(texts) if t]
-                pooled = labeller.pooled([_read(texts[i]) for i in there])
-                for i, p in zip(there, pooled):
-                    k = int(p.argmax())
-                    names[i], scores[i] = labeller.labels[k], min(1.0, float(p[k]))
+            names, scores = _labelled(labeller, some.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(labelled, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -39,10 +39,10 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return found.select("line", "first")
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The rows of docs without boilerplate lines, and two columns more: n_lines and n_removed.
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """The rows of docs without boilerplate lines, and with counts two columns more: n_lines and n_removed.
 
-    docs needs doc_id, text and source; all its columns stay.  A null text stays null and has no lines; a text that loses
+    docs needs doc_id, text and source; all its columns stay but those that counts replaces.  A null text stays null and has no lines; a text that loses
     all its lines is empty.  Null sources are one site.  Null doc_ids come first in the order of places.  Repeated rows
     lose and keep the same lines.  An empty table gives no rows.
     """
@@ -55,8 +55,9 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     lines = F.split("d.text", "\n")
     left = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
-    keep = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
-    return rows.select(*keep, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    keep = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
+    n = {"n_lines": F.size(lines), "n_removed": F.size("__gone")} if counts else {}
+    return rows.select(*keep, *[F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(name) for name, c in n.items()])
 
 
 #: The same in SQL, for tables whose doc_ids differ.

@@ -47,22 +47,23 @@ def targets(totals: DataFrame, weights: Sequence[int], cap: float, share: float)
     return totals.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.lit(level) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, copies, source.
+def _place(doc_id: Column) -> Column:
+    """A document's place on the line."""
+    return F.xxhash64(doc_id, F.lit(SEED))
 
-    docs needs doc_id, text and source; other columns are ignored.  size counts words (null text: 0).  A document is
-    taken copies times: as often as the target holds its whole source, plus once more below the source's threshold.
-    One document more is taken where that brings the source nearer to its target.
-    Null sources are one source, the last.  Null doc_ids and repeated rows share a hash and so a fate.  A source without
-    words has target 0 and copies 0.  An empty table gives no rows.
+
+def thresholds(sized: DataFrame, weights: Sequence[int], cap: float, share: float) -> DataFrame:
+    """One row a source: source_size, target, whole (copies of all its documents), edge and last.
+
+    Documents whose hash begins below edge are taken once more, and so is the one whose hash is last.  sized has source, size and h.
     """
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.lit(SEED)).alias("h")), "sized")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    edge = stage(goal.withColumn("edge", F.lit(0).cast("long")), "budgets")
+    goal = stage(goal.withColumn("edge", F.lit(0).cast("long")), "budgets")
+    edge, own = goal, F.col("s.source").eqNullSafe(F.col("e.source"))
     for level in range(LEVELS):
-        inside = F.col("s.source").eqNullSafe(F.col("e.source"))
+        inside = own
         if level:
             inside &= F.shiftrightunsigned("s.h", 64 - BITS * level) == F.col("e.edge")
         counts = sized.alias("s").join(within_bound(edge.select("source", "edge")).alias("e"), inside).select("s.source", "size", _bits(level).alias("b")).groupBy("source", "b").agg(F.sum("size").alias("n"))
@@ -79,25 +80,45 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, s
     edge = stage(goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select(
         "g.source", "g.source_size", "g.target", "g.whole", "e.edge", "e.left",
     ), "thresholds")
-    own = F.col("s.source").eqNullSafe(F.col("e.source"))
-    at = F.shiftrightunsigned("h", 64 - BITS * LEVELS)
     # what is left below the threshold goes to the one document whose size comes nearest to it
     miss = F.abs(F.col("size") - F.col("left"))
-    rest = sized.alias("s").join(within_bound(edge).alias("e"), own).where((at >= F.col("edge")) & (miss < F.col("left")))
+    rest = sized.alias("s").join(within_bound(edge).alias("e"), own).where((F.shiftrightunsigned("h", 64 - BITS * LEVELS) >= F.col("edge")) & (miss < F.col("left")))
     last = rest.groupBy("s.source").agg(F.min_by("h", F.struct(miss, "h")).alias("last"))
-    edge = stage(edge.alias("g").join(last.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").select("g.*", "e.last"), "thresholds")
-    more = F.coalesce((at < F.col("edge")).cast("long"), F.lit(0)) + F.coalesce((F.col("h") == F.col("last")).cast("long"), F.lit(0))
-    out = sized.alias("s").join(within_bound(edge).alias("e"), own).withColumn("copies", F.col("whole") + more)
+    edge = edge.alias("g").join(last.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    return stage(edge.select("g.source", "source_size", "target", "whole", "edge", "last"), "thresholds")
+
+
+def _copies(place: Column) -> Column:
+    """How often a document is taken, by the row of thresholds() that e names."""
+    below = F.shiftrightunsigned(place, 64 - BITS * LEVELS) < F.col("e.edge")
+    return F.col("e.whole") + F.coalesce(below.cast("long"), F.lit(0)) + F.coalesce((place == F.col("e.last")).cast("long"), F.lit(0))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _place(F.col("doc_id")).alias("h")), "sized")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken, copies, source.
+
+    docs needs doc_id, text and source; other columns are ignored.  size counts words (null text: 0).  A document is
+    taken copies times: as often as the target holds its whole source, plus once more below the source's threshold.
+    One document more is taken where that brings the source nearer to its target.
+    Null sources are one source, the last.  Null doc_ids and repeated rows share a hash and so a fate.  A source without
+    words has target 0 and copies 0.  An empty table gives no rows.
+    """
+    sized = _sized(docs)
+    edge = within_bound(thresholds(sized, weights, cap, share))
+    out = sized.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source"))).withColumn("copies", _copies(F.col("h")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "s.source")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
     """docs as the mix takes them: rows not taken go, rows taken more than once repeat.  Columns as in docs.
 
-    The mix is joined by doc_id; repeated rows of one doc_id have the same fate.
+    Sources are few, so their thresholds go to the documents; texts aren't shuffled.  For the cases see mix().
     """
-    # a doc_id in two sources is taken as its own source says, so the source is part of the key
-    fate = mix(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("d.source").eqNullSafe(F.col("f.source"))
-    taken = docs.alias("d").join(fate.alias("f"), same).select("d.*", F.explode(F.sequence(F.lit(1), F.col("f.copies").cast("int"))).alias("__copy"))
-    return taken.drop("__copy")
+    edge = within_bound(thresholds(_sized(docs), weights, cap, share))
+    out = docs.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")))
+    taken = out.select("d.*", _copies(_place(F.col("d.doc_id"))).cast("int").alias("__copies")).where("__copies > 0")
+    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copies", "__copy")
