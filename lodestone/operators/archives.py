@@ -82,11 +82,14 @@ def members(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
             found = [r for a, c in zip(frame.archive_id, frame.content) for r in listed(a, c)]
             yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None) if found else pd.DataFrame(columns=names)
 
-    # the content of archives that are too large is never read
-    small = F.when(F.octet_length("content") <= limits.archive_bytes, F.col("content"))
-    kept = archives.select("archive_id", small.alias("content"), (F.octet_length("content") > limits.archive_bytes).alias("large"))
+    # the content of archives that are too large is not read; a reader may have left it out
+    large = F.octet_length("content") > limits.archive_bytes
+    if "oversized" in archives.columns:
+        large = F.coalesce("oversized", large)
+    large = F.coalesce(large, F.lit(False))
+    kept = archives.select("archive_id", F.when(~large, F.col("content")).alias("content"), large.alias("large"))
     large = kept.where("large").select("archive_id", *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in MEMBERS.split(", ")[1:-1]], F.lit("archive_too_large").alias("archive_error"))
-    return kept.where("large is null or not large").select("archive_id", "content").mapInPandas(rows, MEMBERS).unionByName(large)
+    return kept.where("not large").select("archive_id", "content").mapInPandas(rows, MEMBERS).unionByName(large)
 
 
 def checked_members(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
