@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..staging import stage
 from .checks import first_violation, running_budget
 
 BROKEN = (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, lzma.LZMAError, NotImplementedError, OSError, zlib.error)
@@ -197,11 +198,12 @@ def validate(archives: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame,
     files: archive_id, relative_path, size_bytes, line_count, sha256, payload of each Python file of the valid archives.
     summary: one row an archive with its totals, or with error_type and no totals.
     """
-    checked = checked_members(members(archives, limits), limits)
-    bad = metadata_errors(checked, limits)
+    # several branches read each of these, so each is stored once
+    checked = stage(checked_members(members(archives, limits), limits), "members")
+    bad = stage(metadata_errors(checked, limits), "rejected")
     accepted = checked.join(bad, "archive_id", "left_anti")
-    read = contents(archives, accepted, limits)
-    worse = first_violation(read, ["archive_id"], ["ordinal"])
+    read = stage(contents(archives, accepted, limits), "contents")
+    worse = stage(first_violation(read, ["archive_id"], ["ordinal"]), "rejected")
     errors = bad.unionByName(worse)
     good = accepted.join(worse, "archive_id", "left_anti")
     python = read.join(worse, "archive_id", "left_anti").where("payload is not null")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .bindings import visible
 from .symbols import BASE, CONFIG_KEYS, LIBRARY, VALIDATORS
 
@@ -75,7 +76,8 @@ def findings(facts: DataFrame) -> DataFrame:
     uses = uses.withColumn("name", F.element_at(F.split("reference", r"\."), 1))
 
     seen = visible(uses, events, use, [*FILE, "name"], ["name", "info"]).where("n = 1 and info is not null").select(*use, col("name").alias("local"), "info")
-    proven = uses.join(seen, use).withColumn("full", canonical(col("info")["kind"], col("info")["module"], col("info")["imported"], col("info")["level"], col("info")["alias"], col("local"), col("reference")))
+    # five rules read these
+    proven = stage(uses.join(seen, use).withColumn("full", canonical(col("info")["kind"], col("info")["module"], col("info")["imported"], col("info")["level"], col("info")["alias"], col("local"), col("reference"))), "proven")
     symbol = F.element_at(F.split("full", r"\."), -1)
 
     def imported(rows: DataFrame, category: str, construct: str, api: Column, module: str = LIBRARY, **more: Column) -> DataFrame:

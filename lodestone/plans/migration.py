@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import archives, checks, rules, symbols
+from ..staging import stage
 
 
 def scan(found: DataFrame, limits: archives.Limits = archives.Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -14,9 +15,9 @@ def scan(found: DataFrame, limits: archives.Limits = archives.Limits()) -> tuple
     Each archive is accepted or rejected whole; summary has one row for each, with totals or with its first error.
     """
     files, summary = archives.validate(found, limits)
-    facts = symbols.facts(files)
-    bad = symbols.scan_errors(facts)
-    kept = facts.join(bad, "archive_id", "left_anti")
+    facts = stage(symbols.facts(files), "facts")
+    bad = stage(symbols.scan_errors(facts), "unscanned")
+    kept = stage(facts.join(bad, "archive_id", "left_anti"), "facts")
     summary = summary.alias("s").join(bad.select("archive_id", F.col("error_type").alias("scan_error")), "archive_id", "left")
     summary = summary.withColumn("error", F.coalesce("error_type", "scan_error")).drop("error_type", "scan_error")
     return rules.findings(kept), kept, summary

@@ -46,6 +46,8 @@ class Plain:
 from pydantic import BaseModel, BaseSettings  # settings
 from pydantic.generics import GenericModel  # generic_model
 
+from .models import Item
+
 
 class Box(BaseModel):
     pass

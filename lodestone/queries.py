@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, text, vectors
-from .operators import archives, bindings, bm25, checks, chunker, dense, fusion, metrics, rules, symbols
+from .functions.tables import if_small
+from .operators import archives, bindings, bm25, checks, chunker, dense, fusion, metrics, rules
 from .plans import migration, retrieval, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,11 +104,7 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors for the benchmark's items: those of equal ids.  The pairing is synthetic; the tables have none."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    return e.join(F.broadcast(_asked(spark, sf_dir).select("query_id")), "query_id") if _few(_asked(spark, sf_dir)) else e.join(_asked(spark, sf_dir).select("query_id"), "query_id")
-
-
-def _few(df: DataFrame) -> bool:
-    return df.limit(50_001).count() <= 50_000
+    return e.join(if_small(_asked(spark, sf_dir).select("query_id")), "query_id")
 
 
 @query(f"WITH {_BM25} SELECT query_id, rank, doc_id, score FROM bm25")
@@ -279,11 +276,11 @@ def label_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(known, "doc_id", "left").select("doc_id", "quality", "toxic", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query(f"SELECT doc_id, source, n_chars, sum(n_chars) OVER w::BIGINT AS running_total, sum(n_chars) OVER w <= {BUDGET} AS within_budget FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)".replace("OVER w::BIGINT", "OVER w"))
+@query(f"SELECT doc_id, source, n_chars, (sum(n_chars) OVER w)::BIGINT AS running_total, sum(n_chars) OVER w <= {BUDGET} AS within_budget FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their ids against a budget of characters for each source (sources stand in for archives)."""
     out = checks.running_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", BUDGET)
-    return out.select("doc_id", "source", "n_chars", F.col("running_total").cast("decimal(38,0)").alias("running_total"), "within_budget")
+    return out.select("doc_id", "source", "n_chars", "running_total", "within_budget")
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank' WHEN regexp_matches(trim(text), '^(?i)(query|passage):') THEN 'prefixed' END AS error FROM conversations")
@@ -411,6 +408,3 @@ def reverse_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each archive's totals or first error, of its members or its sources."""
     return migration.scan(samples.archives(spark))[2]
-
-
-__all__ = ["QUERIES", "SQL", "symbols"]
