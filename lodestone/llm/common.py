@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import checkpoint_dir, drop_staged, stage
+
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "WORD", "checkpoint_dir", "drop_staged", "n_words", "small_batches", "stage", "within_bound"]
+
 #: A word, in Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,38 +19,6 @@ BROADCAST_ROWS = 50_000
 ARROW_ROWS = 1_000
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a session in one JVM gets a folder of its own where the setting is missing.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", own := f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return own
-
-
-def stage(df: DataFrame, label: str, level: int = 1) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage; lost executors lose none of it."""
-    path = f"{checkpoint_dir(df.sparkSession)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes what stage() has written; call it when results that read from it are no longer needed."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(top):
-        for found in files.listStatus(top):
-            if found.getPath().getName().startswith("lodestone-"):
-                files.delete(found.getPath(), True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows that are sent to a Python worker at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
