@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows; stops counting beyond."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows; otherwise Spark shuffles and splits skewed keys."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df

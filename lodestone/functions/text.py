@@ -38,14 +38,55 @@ def casefold(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(F.translate(F.when(text.rlike("[" + "".join(many) + "]"), longer).otherwise(text), old, new))
 
 
+@cache
+def _late() -> str:
+    """A class of the characters whose folding has to wait until tokens are found: it makes more characters, or others than
+    letters and digits of them.  ß is left out; it becomes two letters wherever it stands."""
+    old, new, many = _folds()
+    odd = [c for c, d in zip(old, new) if c.isalnum() != d.isalnum()]
+    return "[" + "".join(sorted({*many, *odd} - {"ß"})) + "]"
+
+
+#: Up to here are the Latin letters; in this block lower() differs from folding at a few characters only.
+_LATIN = 0x24F
+
+
+def _latin(text: Column) -> tuple[Column, Column]:
+    """(whether text is Latin and may be folded whole, its folding then)."""
+    late, spans, begin = set(_late()[1:-1]), [], 0
+    for c in [*range(_LATIN + 1), None]:
+        if c is None or chr(c) in late:
+            end = _LATIN if c is None else c - 1
+            spans += [f"\\x{{{begin:x}}}-\\x{{{end:x}}}"] if begin <= end else []
+            begin = end + 2
+    folded = F.lower(text)
+    for c in map(chr, range(_LATIN + 1)):
+        if c not in late and c.lower() != c.casefold():
+            folded = F.replace(folded, F.lit(c.lower()), F.lit(c.casefold()))
+    return text.rlike("\\A[" + "".join(spans) + "]*\\z"), folded
+
+
 def tokens(text: Column) -> Column:
     """The retrieval tokens of text, in order: each compound, then its parts if it has several; folded.
 
-    Letters and digits are those of the JVM's Unicode tables.  A null text has none.
+    Letters and digits are those of the JVM's Unicode tables.  A null text has none.  Texts are folded whole where that
+    finds the same tokens, and tokens are looked through for parts only where the text has a compound.
     """
-    whole = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    text = F.coalesce(text, F.lit(""))
+    old, new, _ = _folds()
+    found = lambda t: F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
     split = lambda w: F.when(w.rlike(JOINT), F.concat(F.array(w), F.split(w, JOINT))).otherwise(F.array(w))
-    return F.flatten(F.transform(F.transform(whole, casefold), split))
+    spread = lambda words: F.flatten(F.transform(words, split))
+    compound = text.rlike(r"[\p{L}\p{N}][._-][\p{L}\p{N}]")
+    is_latin, latin = _latin(text)
+    other = F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), old, new)
+    late = spread(F.transform(found(text), casefold))
+    return (
+        F.when(is_latin & ~compound, found(latin))
+        .when(is_latin, spread(found(latin)))
+        .when(text.rlike(_late()), late)
+        .otherwise(spread(found(other)))
+    )
 
 
 def query_error(query: Column) -> Column:

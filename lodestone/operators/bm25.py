@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import if_small
+from ..functions.tables import is_small
 from ..functions.text import query_error, tokens
 
 K1, B, MAX_TOP_K, DIGITS = 1.5, 0.75, 8, 9
@@ -24,13 +24,14 @@ def check_parameters(top_k: int, k1: float = K1, b: float = B) -> None:
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf): how often each document has each term."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df): how many documents have each term."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    terms = docs.select(F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    return terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,15 +64,20 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K, k1: floa
     """
     check_parameters(top_k, k1, b)
     asked = query_terms(queries).withColumn("pos", F.col("pos").cast("int"))
-    vocabulary = asked.select("term").distinct()
+    # one count of the queries' terms decides for all that has a row for each of them at most
+    keyed = F.broadcast if is_small(asked) else (lambda df: df)
+    # no token is empty, so an empty one can stand for the document itself: lengths come with the same shuffle
+    vocabulary = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     keys = list(dict.fromkeys(["doc_id", order]))
     read = docs.select(*keys, tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = read.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hits = read.select(*keys, "dl", F.explode("tokens").alias("term")).join(if_small(vocabulary), "term")
+    # explode_outer, as a filter on explode's input would find the tokens twice
+    hits = read.select(*keys, "dl", F.explode_outer(F.concat(F.array(F.lit("")), "tokens")).alias("term")).join(keyed(vocabulary), "term")
     tf = hits.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    # the statistics are one row
-    scored = tf.join(if_small(asked.join(df, "term").join(F.broadcast(stats))), "term")
+    # all three need the counts, so they share one shuffle
+    own = (F.col("term") == "") & (F.col("tf") > 0)
+    stats = tf.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    scored = tf.join(keyed(df), "term").join(F.broadcast(stats)).join(keyed(asked), "term")  # stats is one row
     scored = scored.withColumn("part", idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
     # added in the order of the query's terms, so that sums don't depend on the shuffle; as many as the query has terms
     parts = F.array_sort(F.collect_list(F.struct("pos", "part")))
