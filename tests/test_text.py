@@ -1,0 +1,84 @@
+import random
+import re
+import unicodedata
+import uuid
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestone.functions import paths, text, vectors
+
+
+def plain_tokens(t):
+    out = []
+    for m in re.finditer(r"[^\W_]+(?:[._-][^\W_]+)*", t):
+        word = m.group().casefold()
+        out += [word, *re.split("[._-]", word)] if re.search("[._-]", word) else [word]
+    return out
+
+
+ALPHABETS = [list("abZß._- İŉẞﬁΣςÀéñ1_ͅⅧǅ!µſ") + ["foo.Bar", "ΑΣ ", "x-y_z"], list("abZß._- Àéñ1_!µſŸ"), list("abΣςд ._-!")]
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_tokens_and_folding_equal_pythons(spark, alphabet):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 15))) for _ in range(600)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tokens(F.col("t")).alias("k"), text.casefold(F.col("t")).alias("c")).collect()
+    assert all(r.k == plain_tokens(r.t) and r.c == r.t.casefold() for r in rows)
+
+
+def test_compounds_come_before_their_parts(spark):
+    row = spark.createDataFrame([("Model.parse_obj uses-X __init__ Straße",)], "t string").select(text.tokens(F.col("t")).alias("k")).first()
+    assert row.k == ["model.parse_obj", "model", "parse", "obj", "uses-x", "uses", "x", "init", "strasse"]
+
+
+def test_null_text_has_no_tokens(spark):
+    assert spark.createDataFrame([(None,)], "t string").select(text.tokens(F.col("t")).alias("k")).first().k == []
+
+
+@pytest.mark.parametrize("raw, error", [("  ", "blank"), ("", "blank"), (None, "blank"), ("  ", "blank"), ("Query: x", "prefixed"), (" passage:x", "prefixed"), ("queries: x", None), ("x query:", None)])
+def test_query_error(spark, raw, error):
+    assert spark.createDataFrame([(raw,)], "t string").select(text.query_error(F.col("t")).alias("e")).first().e == error
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(max_size=20), min_size=1, max_size=20))
+def test_ids_and_digests(spark, names):
+    namespace = uuid.UUID(text.POINT_NAMESPACE)
+    rows = spark.createDataFrame([(n,) for n in names], "t string").select("t", text.uuid5(F.col("t")).alias("u")).collect()
+    assert all(r.u == str(uuid.uuid5(namespace, r.t)) for r in rows)
+
+
+def test_normal_forms(spark):
+    row = spark.createDataFrame([(" Ｆｕｌｌ  \t ﬁle ",)], "t string").select(text.question_key(F.col("t")).alias("k"), text.nfkc(F.col("t")).alias("n"), text.question_part(F.col("t")).alias("p")).first()
+    assert row.k == "full file" and row.p == "Full file" and row.n == unicodedata.normalize("NFKC", " Ｆｕｌｌ  \t ﬁle ")
+
+
+def test_fake_vector_is_stable_and_in_range(spark):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "t string").select(text.fake_vector(8)(F.col("t")).alias("v")).collect()
+    assert rows[0].v == rows[1].v != rows[2].v and all(-1 <= x <= 1 for r in rows for x in r.v)
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([([0.6, 0.8],), ([0.6, 0.8, 0.0],), ([float("nan"), 1.0],), ([1.0, 1.0],), (None,)], "v array<float>")
+    rows = df.select(vectors.vector_error(F.col("v"), 2).alias("e")).collect()
+    assert [r.e for r in rows] == [None, "dimension", "not_finite", "not_unit", "dimension"]
+
+
+@pytest.mark.parametrize("raw, path", [
+    ("a/b.py", "a/b.py"), ("a\\b.py", "a/b.py"), ("./a//b", "a/b"), ("a/", "a"), ("", None), (".", None), ("../a", None), ("a/../b", None), ("/a", None), ("\\\\h\\s", None),
+    ("C:x", None), ("a\0b", None), ("a:b", None), ("a.", None), ("a ", None), ("con", None), ("Aux.txt", None), ("com1.py", None), ("com10.py", "com10.py"), ("x\x1fy", None), ("console", "console"), (None, None),
+])
+def test_canonical_path(spark, raw, path):
+    row = spark.createDataFrame([(raw,)], "p string").select(paths.canonical_path(F.col("p")).alias("c")).first()
+    assert row.c == path
+
+
+def test_ignored_and_python(spark):
+    names = ["a/venv/b.py", "VENV/b.py", "venv", "venv.py", ".py", "a/.py", "x.PY", "x.pyc", "site-packages/x.py"]
+    rows = spark.createDataFrame([(n,) for n in names], "p string").select(paths.in_ignored_directory(F.col("p")).alias("i"), paths.is_python(F.col("p")).alias("y")).collect()
+    assert [r.i for r in rows] == [True, True, False, False, False, False, False, False, True]
+    assert [r.y for r in rows] == [True, True, False, True, False, False, True, False, True]
