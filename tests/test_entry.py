@@ -1,0 +1,43 @@
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_file
+from lodestone import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+def value(x):
+    if isinstance(x, float):
+        return round(x, 9)
+    return [value(y) for y in x] if isinstance(x, (list, tuple)) else x
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    return con
+
+
+@pytest.mark.parametrize("name", queries.SQL)
+def test_query_equals_its_sql(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.SQL[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    order = [want.columns.index(c) for c in got.columns]
+    rows = sorted(repr(value(tuple(r))) for r in got.collect())
+    assert rows == sorted(repr(value(tuple(r[i] for i in order))) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
+def test_query_runs(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_entry(spark):
+    assert entry_file.entry(spark).columns == ["query_id", "rank", "doc_id", "score"]
+    assert set(queries.QUERIES) <= set(entry_file.queries()) and set(entry_file.oracle_sql()) <= set(entry_file.queries())
