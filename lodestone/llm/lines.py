@@ -2,7 +2,8 @@
 
 Sites are counted by a HyperLogLog sketch per line hash; sketches merge by aggregation, so the most common line is a
 few hundred bytes a task when it is shuffled.  Lines whose estimate is near the threshold get an exact count.  Of each
-boilerplate line the first occurrence stays (smallest doc_id, then place), all others go.
+boilerplate line the first occurrence stays (smallest doc_id, then place), there and in exact copies of that document, so
+that copies stay copies; all others go.
 """
 
 from __future__ import annotations
@@ -47,8 +48,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) ->
     lose and keep the same lines.  An empty table gives no rows.
     """
     found = within_bound(stage(boilerplate(docs, min_sites), "boilerplate"))
-    own = F.struct("doc_id", "tie", "place")
-    gone = _lines(docs).join(found, "line").where(~own.eqNullSafe(F.col("first")))
+    gone = _lines(docs).join(found, "line").where((F.col("tie") != F.col("first.tie")) | (F.col("place") != F.col("first.place")))
     gone = gone.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("__gone")).alias("g")
     text = docs.alias("d").withColumn("__tie", F.xxhash64("text"))
     rows = text.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("__tie") == F.col("g.tie")), "left")
@@ -63,14 +63,14 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) ->
 #: The same in SQL, for tables whose doc_ids differ.
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
+  SELECT doc_id, sha256(text) AS own, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place
   FROM documents
 ), counted AS (
   SELECT *, len(regexp_extract_all(line, '{WORD}')) >= {MIN_WORDS} AS long_enough FROM lines
 ), spread AS (
-  SELECT line, min({{'d': doc_id, 'p': place}}) AS first FROM counted WHERE long_enough GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
+  SELECT line, min({{'d': doc_id, 't': own, 'p': place}}) AS first FROM counted WHERE long_enough GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}
 ), marked AS (
-  SELECT c.doc_id, c.place, c.line, s.line IS NOT NULL AND (c.doc_id <> s.first.d OR c.place <> s.first.p) AS gone
+  SELECT c.doc_id, c.place, c.line, s.line IS NOT NULL AND (c.own <> s.first.t OR c.place <> s.first.p) AS gone
   FROM counted c LEFT JOIN spread s ON c.line = s.line AND c.long_enough
 ), joined AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed
