@@ -15,6 +15,7 @@ from .functions import paths, text, vectors
 from .functions.tables import if_small
 from .operators import archives, bindings, bm25, checks, chunker, dense, fusion, metrics, rules
 from .plans import migration, retrieval, samples
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.documents(spark, sf_dir) if name == "documents" else tables.read(spark, sf_dir, name)
 
 
 # -- SQL parts ------------------------------------------------------------------------------------------------------------
