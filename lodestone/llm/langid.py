@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import small_batches
+from .common import small_batches, stage, within_bound
 
 #: Units of each direction; bytes of a window; windows labelled at once.
 HIDDEN, WINDOW, BATCH = 12, 128, 2_048
@@ -218,7 +218,9 @@ def sample(docs: DataFrame, documents: int = SAMPLE, cuts: int = CUTS, window: i
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(documents)) / F.col("n"))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / F.lit(2.0**53)
-    rows = rows.join(counts.select("lang", share.alias("share")), "lang").where(chance < F.col("share"))
+    # languages are few, so their shares go to the rows; texts aren't shuffled
+    shares = within_bound(stage(counts.select("lang", share.alias("share")), "shares"))
+    rows = rows.join(shares, "lang").where(chance < F.col("share"))
     rows = rows.where(F.length("text") > 0).select("doc_id", "lang", "text", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("cut"))
     start = F.pmod(F.xxhash64("doc_id", "cut"), F.greatest(F.length("text") - window, F.lit(1))).cast("int") + 1
     found = rows.select("doc_id", "lang", "cut", F.substring(F.col("text"), start, F.lit(window)).alias("text")).collect()
