@@ -6,61 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import documents
 from . import fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels all documents with a network that is trained on those that aren't held out."""
-    return langid.identify(_documents(spark, sf_dir))
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups all documents by SimHash fingerprints of at most three differing bits."""
-    return simhash.near_duplicates(_documents(spark, sf_dir))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds the secrets in all documents."""
-    return secrets.find_secrets(_documents(spark, sf_dir))
+    return secrets.find_secrets(documents(spark, sf_dir))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints all documents, their edited texts, and the likeness of each to its edited text and to the next one."""
-    return fingerprints.edited_likeness(_documents(spark, sf_dir))
+    return fingerprints.edited_likeness(documents(spark, sf_dir))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2048 tokens."""
-    return packing.pack(_documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures all documents and judges each by the rules and its group's thresholds."""
-    return quality.judged(_documents(spark, sf_dir))
+    return quality.judged(documents(spark, sf_dir))
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts the tokens of all documents."""
-    return tokens.token_counts(_documents(spark, sf_dir))
+    return tokens.token_counts(documents(spark, sf_dir))
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of all documents in training order and returns the index of the shards."""
-    return shards.materialise(_documents(spark, sf_dir))
+    return shards.materialise(documents(spark, sf_dir))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents: what each source's target is and how often each document is taken."""
-    return mixing.mix(_documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir))
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes the lines that many sources share from all documents."""
-    return lines.cleaned(_documents(spark, sf_dir).select("doc_id", "text", "source")).drop("source")
+    return lines.cleaned(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
