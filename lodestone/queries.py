@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-BUDGET, ROUND = 200_000, 9
+BUDGET, ROUND = 100_000, 9
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -290,6 +290,59 @@ def prefix_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.query_error(F.col("text")).alias("error"))
 
 
+@query(f"""SELECT source, min_by(doc_id, doc_id) AS doc_id, 'over_budget' AS error_type FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS t FROM documents) WHERE t > {BUDGET} GROUP BY source""")
+def first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document at which each source goes over the budget; sources within it have no row."""
+    rows = running_budget(spark, sf_dir).withColumn("error_type", F.when(~F.col("within_budget"), "over_budget"))
+    first = checks.first_violation(rows, ["source"], ["doc_id"])
+    return first.join(rows.where("not within_budget").groupBy("source").agg(F.min("doc_id").alias("doc_id")), "source")
+
+
+@query("SELECT event_id, user_id, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE value <= before")
+def not_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events whose value isn't above that of the user's event before (values stand in for offsets)."""
+    return checks.not_increasing(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], ["event_id"], "value")
+
+
+_SPANS = "SELECT user_id, event_id * 10 AS start, event_id * 10 + 5000 AS stop FROM events"
+
+
+@query(f"""WITH s AS ({_SPANS}), m AS (SELECT *, max(stop) OVER (PARTITION BY user_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+r AS (SELECT *, sum((reach IS NULL OR start > reach)::INT) OVER (PARTITION BY user_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT user_id, min(start) AS start, max(stop) AS stop FROM r GROUP BY user_id, run""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of each user's spans, one after each event (events stand in for chunks of a source)."""
+    spans = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5000).alias("stop"))
+    return checks.merged_spans(spans, ["user_id"], "start", "stop")
+
+
+@query(f"""WITH s AS ({_SPANS}) SELECT e.event_id FROM events e WHERE EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.start < e.event_id * 10 AND s.stop >= e.event_id * 10 + 5)""")
+def covered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that lie within an earlier span of their user."""
+    e = table(spark, sf_dir, "events")
+    inner = e.select("event_id", "user_id", (F.col("event_id") * 10 - 1).alias("start"), (F.col("event_id") * 10 + 5).alias("end"))
+    outer = e.select("user_id", (F.col("event_id") * 10).alias("start"), (F.col("event_id") * 10 + 5000).alias("end"))
+    return checks.covered(inner, outer, ["user_id"]).select("event_id")
+
+
+@query(r"""SELECT item_id, 'Pydantic v1 to v2 migration. Rule category: Pydantic settings migration. Legacy API or concept: item ' || item_id || '. '
+|| CASE WHEN item_id % 2 = 0 THEN '' ELSE 'AST context: call(' || item_id || '). ' END || 'Question: ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM benchmark""")
+def rendered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts rendered as questions; category, API and context are made up from the id."""
+    context = F.when(F.col("item_id") % 2 == 0, "").otherwise(F.concat(F.lit("call("), F.col("item_id").cast("string"), F.lit(")")))
+    api = F.concat(F.lit("item  "), F.col("item_id").cast("string"))
+    return table(spark, sf_dir, "benchmark").select("item_id", retrieval.rendered_query(F.lit("settings"), api, context, F.col("text")).alias("query"))
+
+
+@query("SELECT count_if(quality = 1)::BIGINT AS positive, count_if(quality = 0)::BIGINT AS negative, count(DISTINCT doc_id) AS ids, min(doc_id) AS low, max(doc_id) AS high FROM labels")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by kind and the range of their ids."""
+    return table(spark, sf_dir, "labels").agg(
+        F.count_if(F.col("quality") == 1).alias("positive"), F.count_if(F.col("quality") == 0).alias("negative"),
+        F.countDistinct("doc_id").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+    )
+
+
 # -- position-aware lookups and paths ----------------------------------------------------------------------------------------
 
 
