@@ -208,9 +208,9 @@ def materialise(docs: DataFrame, out: str | None = None, vocabulary: str | None
     where, top = fs.FileSystem.from_uri(out)
     where.create_dir(top, recursive=True)
     cut = _fragments(base, Permutation(sequences, key), length, slots)
-    # as many partitions as shards, within reason; a partition holds whole shards and its task one at a time
+    # as many partitions as shards, within reason, each with as many of them; a task holds one shard at a time
     n = max(1, min(-(-sequences // slots), 32_768))
-    dealt = tokens.mapInArrow(cut, "shard int, blob binary").repartition(n, "shard").sortWithinPartitions("shard")
+    dealt = tokens.mapInArrow(cut, "shard int, blob binary").repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard")
     index = stage(dealt.mapInArrow(_written(out, total, length, slots, end), INDEX), "index")
     with where.open_output_stream(f"{top}/manifest.json") as f:
         f.write(json.dumps({"tokens": total, "sequences": sequences, "length": length, "bytes_per_id": 2, "slots_per_shard": slots, "key": key, "end": end}).encode())
