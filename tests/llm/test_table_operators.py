@@ -283,6 +283,12 @@ def test_mix_meets_its_targets(make):
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(make(rows, partitions=5)).collect()), key=repr)
 
 
+def test_mix_is_the_same_without_broadcasts(make, monkeypatch):
+    want = sorted(map(tuple, mixing.mix(make(corpus())).collect()), key=repr)
+    monkeypatch.setattr(mixing, "within_bound", lambda df: df)
+    assert sorted(map(tuple, mixing.mix(make(corpus())).collect()), key=repr) == want
+
+
 def test_smaller_budgets_are_nested(make):
     docs = make(corpus())
     small, large = ({r.doc_id: r.copies for r in mixing.mix(docs, share=s).collect()} for s in (0.2, 0.5))
@@ -315,8 +321,10 @@ def brute_lines(rows, least):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_lines_equal_brute_force(make, seed):
+@pytest.mark.parametrize("seed, small", [(1, True), (2, True), (3, False)])
+def test_lines_equal_brute_force(make, monkeypatch, seed, small):
+    if not small:  # as if the tables were too large for a broadcast
+        monkeypatch.setattr(lines, "within_bound", lambda df: df)
     rng = random.Random(seed)
     pool = [f"line number {i} here" for i in range(40)] + ["too short", "", "All rights reserved."]
     rows = [(i, "\n".join(rng.choices(pool, rng.choices(range(1, 40), k=43), k=rng.randint(0, 6))), "en", rng.choice([None, *"abcdefghijklmno"])) for i in range(400)]
