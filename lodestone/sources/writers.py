@@ -81,6 +81,13 @@ def _replace(target: Path, data: bytes) -> None:
         raise
 
 
+def snapshot_manifest(files: DataFrame, **provenance: str) -> DataFrame:
+    """A row for each file (source_id, content) with its digest, length, provenance and the time in UTC to the second."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    fixed = [F.lit(v).alias(k) for k, v in sorted(provenance.items())]
+    return files.select("source_id", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("byte_length"), now.alias("retrieved_at_utc"), *fixed)
+
+
 def run_manifest(inputs: Mapping[str, bytes], outputs: Mapping[str, bytes], parameters: Mapping[str, Any]) -> bytes:
     """What a run read and made, by digest, and how."""
     digests = lambda files: {n: {"sha256": hashlib.sha256(d).hexdigest(), "byte_length": len(d)} for n, d in files.items()}

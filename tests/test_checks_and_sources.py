@@ -143,3 +143,13 @@ def test_label_checks(spark):
     assert got == {("unknown_file", "c.py"), ("missing_file", "b.py"), ("line_outside_file", "a.py"), ("unknown_heading", "c.py")}
     row = migration.label_summary(labels, lines).first()
     assert (row.positive_label_count, row.negative_label_count, row.gold_heading_count, row.max_python_loc) == (2, 1, 2, 40)
+
+
+def test_snapshot_manifest(spark):
+    import hashlib
+    from datetime import datetime, timezone
+
+    row = writers.snapshot_manifest(df(spark, [("s", bytearray(b"abc"))], "source_id string, content binary"), git_ref="v1").first()
+    assert (row.sha256, row.byte_length, row.git_ref) == (hashlib.sha256(b"abc").hexdigest(), 3, "v1")
+    when = datetime.strptime(row.retrieved_at_utc, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+    assert abs((datetime.now(timezone.utc) - when).total_seconds()) < 120
