@@ -71,33 +71,45 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return met.select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of docs, which needs doc_id and text; other columns are ignored.
+def _hash(text: Column) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    component_id is the smallest doc_id reached over links of at most three differing bits, the row's own included.
-    Equal fingerprints, exact copies among them, are one node, so copies make no pairs.  Null and empty texts, and texts of white space only, have fingerprint
-    zero and are linked like any other.  Rows with a null doc_id get their group's smallest id, null only if it has none.
-    Repeated rows each give a row.  An empty table gives no rows.
-    """
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, fp, root, component_id) for each row of docs; root is the group's smallest fingerprint."""
     small_batches(docs.sparkSession)
-    marked = stage(docs.select("doc_id", _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
+    marked = stage(docs.select("doc_id", _hash(F.col("text")).alias("tie"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = stage(components(links(distinct)), "roots")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.where("node is not null").groupBy("root").agg(F.min("first").alias("least"))
     # one row a fingerprint; a fingerprint of very many copies is a skewed key on the other side alone, which AQE splits
-    named = labelled.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    out = marked.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.join(least, "root", "left").select("fp", "root", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of docs, which needs doc_id and text; other columns are ignored.
+
+    component_id is the smallest doc_id reached over links of at most three differing bits, the row's own included.
+    Equal fingerprints, exact copies among them, are one node, so copies make no pairs.  Null and empty texts, and texts of
+    white space only, have fingerprint zero and are linked like any other.  Rows with a null doc_id get their group's
+    smallest id, null only if it has none.  Repeated rows each give a row.  An empty table gives no rows.
+    """
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest doc_id.  Columns as in docs.
+    """The rows of docs that stay: of each group one, that with the smallest doc_id.  Columns as in docs.
 
-    A repeated row is a copy of itself: one of its rows stays.  A group without any doc_id keeps one row.
+    Among rows of one doc_id and group the text's hash decides; null doc_ids come last.  A repeated row is a copy of
+    itself: one of its rows stays.
     """
-    ids = near_duplicates(docs).select("doc_id", "component_id")
-    ids = stage(ids, "groups")
-    kept = ids.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
+    rows = stage(_grouped(docs).select("doc_id", "tie", "root"), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best")
+    kept = rows.groupBy("root").agg(best).select("best.doc_id", "best.tie")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (_hash(F.col("d.text")) == F.col("k.tie"))
+    out = docs.alias("d").join(kept.alias("k"), same, "left_semi")
+    repeated = rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

@@ -80,9 +80,16 @@ def test_near_duplicates_equal_brute_force(make, odd):
     want = Counter((i, f"{fp:016x}", min(least[r], default=None)) for (i, *_), fp, r in zip(rows, fps, own))
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
     kept = simhash.deduplicated(make(rows, clash=True)).collect()
+    assert len(kept) == len(set(own))  # one row of each group
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({min(v) for v in least.values() if v})
 
 
+def test_one_row_of_each_group_stays_without_ids(make):
+    rows = [(None, "a b c d e f", "en", "s"), (None, "a b c d e f", "en", "t"), (None, "other words are here now", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "something else entirely today", "en", "s")]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.deduplicated(make(rows)).collect())
+    assert kept == [(0, "other words are here now"), (1, "a b c d e f"), (1, "something else entirely today")]
+
+
 def test_no_documents(make):
     assert simhash.near_duplicates(make([])).count() == simhash.deduplicated(make([])).count() == 0
 
