@@ -39,4 +39,5 @@ def test_stages_apply(spark, docs):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
 def test_registered_queries_run(spark, name):
-    assert __spark_entry__.queries()[name](spark, SF).count() >= 200
+    least = {"op8_shards": 100, "pipeline": 100}  # sequences, and pieces of what is left
+    assert __spark_entry__.queries()[name](spark, SF).count() >= least.get(name, 200)
