@@ -71,7 +71,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return met.select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
 
 
-def _hash(text: Column) -> Column:
+def text_hash(text: Column) -> Column:
     """What tells rows of one doc_id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -79,7 +79,7 @@ def _hash(text: Column) -> Column:
 def _grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, tie, fp, root, component_id) for each row of docs; root is the group's smallest fingerprint."""
     small_batches(docs.sparkSession)
-    marked = stage(docs.select("doc_id", _hash(F.col("text")).alias("tie"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
+    marked = stage(docs.select("doc_id", text_hash(F.col("text")).alias("tie"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = stage(components(links(distinct)), "roots")
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
@@ -100,17 +100,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group one, that with the smallest doc_id.  Columns as in docs.
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each root in grouped (doc_id, tie, root) the row with the smallest doc_id; tie is the text_hash().
 
     Among rows of one doc_id and group the text's hash decides; null doc_ids come last.  A repeated row is a copy of
     itself: one of its rows stays.
     """
-    rows = stage(_grouped(docs).select("doc_id", "tie", "root"), "groups")
+    rows = stage(grouped, "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best")
     kept = rows.groupBy("root").agg(best).select("best.doc_id", "best.tie")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (_hash(F.col("d.text")) == F.col("k.tie"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (text_hash(F.col("d.text")) == F.col("k.tie"))
     # most rows stay, so the kept ids grow with the input; hashing them by partition spares sorting the texts
     out = docs.alias("d").join(kept.alias("k").hint("shuffle_hash"), same, "left_semi")
     repeated = rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each group of near_duplicates() one, that with the smallest doc_id.  Columns as in docs."""
+    return one_of_each(docs, _grouped(docs).select("doc_id", "tie", "root"))

@@ -36,6 +36,20 @@ def test_stages_apply(spark, docs):
     assert {r.doc_id for r in sizes["packed"].collect()} == set(ids["mixture"])
 
 
+def test_near_dedup_takes_copies_beyond_three_bits(spark, make):
+    import random
+
+    from lodestone.llm import simhash
+
+    words = [f"word{i}" for i in range(300)]
+    text = random.Random(4).choices(words, k=120)
+    near = text[:60] + ["other"] + text[61:90] + ["others"] + text[91:]  # 106 shingles of 126 are in both
+    assert (simhash.fingerprint(" ".join(text)) ^ simhash.fingerprint(" ".join(near))).bit_count() > 3
+    far = text[:40] + ["x", "y", "z"] + text[43:60] + ["another"] + text[61:90] + ["more"] + text[91:]  # 99 of 133, with either
+    docs = make([(i, " ".join(t), "en", "s") for i, t in enumerate([text, near, far])])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 2]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", [*queries.QUERIES, "pipeline"])
 def test_registered_queries_run(spark, name):

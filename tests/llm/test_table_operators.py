@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import components, fingerprints, lines, mixing, packing, shards, simhash
+from lodestone.llm import components, fingerprints, lines, mixing, packing, resembling, shards, simhash
 from lodestone.llm.bytebpe import encoder
 
 WORDS = [f"word{i}" for i in range(300)]
@@ -94,6 +94,35 @@ def test_no_documents(make):
     assert simhash.near_duplicates(make([])).count() == simhash.deduplicated(make([])).count() == 0
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))}
+
+
+def test_resembling_equals_brute_force(make, odd, monkeypatch):
+    monkeypatch.setattr(resembling, "MANY", 3)  # a small table has shingles to put off, too
+    rng = random.Random(6)
+    rows, chorus = list(odd), rng.choices(WORDS, k=30)
+    for i in range(20, 60):
+        w = chorus * (i % 3) + rng.choices(WORDS, k=rng.choice([4, 5, 9, 40, 150]))
+        rows.append((i, " ".join(w), "en", "s"))
+        for step in (100, 200, 300, 400):
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = f"changed{rng.randrange(9)}"
+            rows.append((i + step, " ".join(w).title() + "\n", "en", "s"))
+    sets = [five_words(t) for _, t, *_ in rows]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    far = [(i, j) for i, j in pairs if (brute_fingerprint(rows[i][1]) ^ brute_fingerprint(rows[j][1])).bit_count() > 3]
+    own, least = roots(len(rows), pairs), defaultdict(list)
+    for (i, *_), r in zip(rows, own):
+        least[r] += [i] if i is not None else []
+    kept = resembling.deduplicated(make(rows, clash=True)).collect()
+    assert len(far) > 10 and len(kept) == len(set(own)) < len(rows) - 10
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({min(v) for v in least.values() if v})
+    assert resembling.deduplicated(make([])).count() == 0
+
+
 # -- fingerprints ---------------------------------------------------------------------------------------------------------------------------
 
 
