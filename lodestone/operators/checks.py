@@ -69,6 +69,21 @@ def conditions(df: DataFrame, **rules: Column) -> DataFrame:
     return df.withColumn("violations", F.array_compact(found))
 
 
+def markdown(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with violations of raw Markdown: there is text, it has no NUL, isn't HTML, and a line begins with #."""
+    t = F.col(text)
+    return conditions(
+        df, there=t != "", no_nul=~t.rlike(r"\x00"), no_html=~t.rlike(r"(?iU)^[\s\x1c-\x1f]*<(!doctype html|html)"),
+        heading=t.rlike(r"(^|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])#"),
+    )
+
+
+def mit_licence(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with violations of the MIT licence's text: there is text, with its name and its grant."""
+    t = F.col(text)
+    return conditions(df, there=t != "", name=t.contains("MIT License"), grant=t.contains("Permission is hereby granted"))
+
+
 def covered(inner: DataFrame, outer: DataFrame, group: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """The rows of inner whose span lies in one span of outer."""
     o = outer.select(*group, F.col(start).alias("__start"), F.col(end).alias("__end"))

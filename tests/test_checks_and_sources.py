@@ -45,6 +45,16 @@ def test_conditions(spark):
     assert [r.violations for r in rows] == [[], ["positive"], ["positive", "there"]]
 
 
+def test_markdown_and_licence(spark):
+    texts = ["# Guide", "a\r# b", "\u00a0\n<!DOCTYPE HTML>\n# a", "<html>", "plain # text", "# a\0", "", None]
+    got = {r.text: r.violations for r in checks.markdown(df(spark, [(t,) for t in texts], "text string")).collect()}
+    every = ["there", "no_nul", "no_html", "heading"]
+    assert got == dict(zip(texts, [[], [], ["no_html"], ["no_html", "heading"], ["heading"], ["no_nul"], ["there", "heading"], every]))
+    licences = ["MIT License\n\nPermission is hereby granted, free", "Apache License", "MIT License", None]
+    got = [r.violations for r in checks.mit_licence(df(spark, [(t,) for t in licences], "text string").coalesce(1)).collect()]
+    assert sorted(got) == sorted([[], ["name", "grant"], ["grant"], ["there", "name", "grant"]])
+
+
 def test_canonical_writers():
     assert writers.canonical_json({"b": "é", "a": [1]}) == '{\n  "a": [\n    1\n  ],\n  "b": "é"\n}\n'.encode()
     rows = [{"system": "s", "question_count": 12, "recall_at_1": 11 / 12, "recall_at_3": 1.0, "mrr_at_5": 17 / 18}]
