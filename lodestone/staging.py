@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of sessions in one JVM that have no spark.checkpoint.dir, by application.
+_fallback: dict[str, str] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -15,25 +18,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", own := f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
-    return own
+    # the setting is static: a running session can't be given it
+    return _fallback.setdefault(context.applicationId, f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+
+
+def session_dir(spark: SparkSession) -> str:
+    """Where this session's intermediate tables are, apart from those of all other sessions."""
+    return f"{checkpoint_dir(spark)}/lodestone-{spark.sparkContext.applicationId}-{spark._jsparkSession.sessionUUID()}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path as a URI of the file system that Spark resolves it on; a path without a scheme is on the default one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def stage(df: DataFrame, label: str, level: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage; lost executors lose none of it."""
-    path = f"{checkpoint_dir(df.sparkSession)}/lodestone-{label}-{uuid.uuid4().hex}"
+    path = f"{session_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Deletes what stage() has written; call it when results that read from it are no longer needed."""
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
-    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(top):
-        for found in files.listStatus(top):
-            if found.getPath().getName().startswith("lodestone-"):
-                files.delete(found.getPath(), True)
+    """Deletes what stage() has written in this session; call it when results that read from it are no longer needed."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
