@@ -46,3 +46,9 @@ def is_python(path: Column) -> Column:
 def prefixes(parts: Column) -> Column:
     """All proper prefixes of an array."""
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.slice(parts, F.lit(1), n))
+
+
+def stays_under(path: Column) -> Column:
+    """Whether a relative path stays under the folder that it starts from: no root, drive, backslash, NUL or parent."""
+    parts = F.split(path, "/")
+    return F.coalesce((path != "") & ~path.rlike(r"^(?s:.):|^/|[\\\x00]") & ~F.exists(parts, lambda c: c.isin("", ".", "..")), F.lit(False))

@@ -135,11 +135,13 @@ def question_part(text: pd.Series) -> pd.Series:
 
 
 def fake_vector(dimension: int = 384):
-    """A UDF from text to a fixed vector without meaning: SHAKE-256, four bytes a number, -1 to 1; not of unit length."""
+    """A UDF from text to a fixed vector without meaning: SHAKE-256, four bytes a number, -1 to 1; not of unit length; null: null."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def vector(text: pd.Series) -> pd.Series:
-        def one(t: str) -> list[float]:
+        def one(t: str | None) -> list[float] | None:
+            if t is None:
+                return None
             raw = hashlib.shake_256(t.encode()).digest(4 * dimension)
             return [int.from_bytes(raw[i : i + 4], "big") / 0xFFFFFFFF * 2.0 - 1.0 for i in range(0, len(raw), 4)]
 

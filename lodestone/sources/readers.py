@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..operators.archives import Limits
+from ..staging import qualified
 
 QUESTIONS = (
     "schema_version int, split string, gold_source string, questions array<struct<schema_version int, question_id string, split string, rule_category string, "
@@ -20,8 +22,16 @@ MANIFEST = (
     "sha256 string, byte_length long, license string, license_source_url string, license_path string, license_sha256 string, license_byte_length long, attribution_path string"
 )
 
+CHUNKS = (
+    "schema_version int, source_id string, source_url string, git_ref string, resolved_commit_sha string, source_path string, source_snapshot_path string, "
+    "source_snapshot_sha256 string, source_snapshot_byte_length long, source_retrieved_at_utc string, min_chars int, max_chars int, overlap_chars int, "
+    "chunks array<struct<chunk_id string, text string, heading_path array<string>, content_sha256 string, char_length long, source_id string, source_url string, git_ref string, "
+    "resolved_commit_sha string, source_path string, source_snapshot_sha256 string, source_start_char long, source_end_char long, continuation_index int, overlap_chars int, "
+    "identity_occurrence int>>"
+)
+
 
-def archives(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+def archives(spark: SparkSession, path: str | list[str], limits: Limits = Limits()) -> DataFrame:
     """(archive_id, content): the archives under path.  The size is checked before contents are read: larger ones have null
     content and `oversized`."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
@@ -40,6 +50,13 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return strict_json(spark, path, QUESTIONS).select(F.col("split").alias("artifact_split"), F.explode("questions").alias("q")).select("artifact_split", "q.*")
 
 
+def chunk_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(artifacts, chunks) of the chunk artifacts under path; chunks have their artifact's file and place, artifact and chunk_no."""
+    whole = strict_json(spark, path, CHUNKS).withColumn("artifact", F.col("_metadata.file_path"))
+    rows = whole.select("artifact", F.posexplode("chunks").alias("chunk_no", "c")).select("artifact", "chunk_no", "c.*")
+    return whole.drop("chunks"), rows
+
+
 def detection(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(fixtures, labels) of a detection artifact."""
     whole = strict_json(spark, path, DETECTION)
@@ -49,14 +66,21 @@ def detection(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def verified_text(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """(source_id, text, error): files whose digest and length are those that their manifest row states, decoded strictly.
 
-    manifest has source_id, snapshot_path (a suffix of the file's path), sha256 and byte_length.  A broken file has error and no
-    text; a manifest row without a file has the error missing.
+    manifest has source_id, snapshot_path (the file's path below the folder path), sha256 and byte_length.  A broken file has
+    error and no text; a manifest row without a file has the error missing, and one whose path leaves the folder outside.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    found = manifest.select("source_id", "snapshot_path", "sha256", "byte_length").join(files, F.expr("endswith(path, snapshot_path)"), "left")
+    top = qualified(spark, path).rstrip("/")
+    # file:/x and file:///x are one name
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.load(path).select(plain(F.col("path")).alias("name"), "path", "length", "content")
+    wanted = manifest.select("source_id", "snapshot_path", "sha256", "byte_length")
+    name = F.concat(plain(F.lit(top)), F.lit("/"), "snapshot_path")
+    found = wanted.withColumn("name", name).join(files, "name", "left")
     text = F.col("content").cast("string")
     error = (
-        F.when(F.col("path").isNull(), "missing")
+        F.when(~paths.stays_under(F.col("snapshot_path")), "outside")
+        .when(F.col("path").isNull(), "missing")
         .when(F.col("length") != F.col("byte_length"), "length")
         .when(F.sha2("content", 256) != F.col("sha256"), "sha256")
         .when(~F.is_valid_utf8(text), "not_utf8")

@@ -50,11 +50,14 @@ def publish(files: Mapping[str, bytes], folder: str | Path) -> str:
     The set is written to a folder of its own, and one pointer file is then replaced, so readers see all or none of it.
     """
     top = Path(folder)
+    if any(n in ("", ".", "..") or set(n) & set("/\\\0") for n in files):
+        raise ValueError("the name of a published file must stay under the folder")
     version = hashlib.sha256(b"".join(name.encode() + hashlib.sha256(data).digest() for name, data in sorted(files.items()))).hexdigest()[:32]
     pointer = top / "CURRENT"
-    if pointer.exists() and pointer.read_text() == version and all((top / version / n).read_bytes() == d for n, d in files.items() if (top / version / n).exists()):
-        return "unchanged"
     home = top / version
+    # a file that is missing or altered is published again
+    if pointer.exists() and pointer.read_text() == version and all((home / n).is_file() and (home / n).read_bytes() == d for n, d in files.items()):
+        return "unchanged"
     home.mkdir(parents=True, exist_ok=True)
     for name, data in files.items():
         _replace(home / name, data)

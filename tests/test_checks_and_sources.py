@@ -65,6 +65,13 @@ def test_publish_is_all_or_nothing(tmp_path, monkeypatch):
     assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "published"
     assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "unchanged"
 
+    next((tmp_path).glob("*/b")).unlink()
+    assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "published"  # a lost file comes back
+    assert writers.published(tmp_path) == {"a": b"1", "b": b"2"}
+    for name in ("../x", "a/b", "..", ""):
+        with pytest.raises(ValueError):
+            writers.publish({name: b""}, tmp_path)
+
     def broken(target, data):
         raise OSError
 
@@ -113,6 +120,20 @@ def test_verified_text(spark, tmp_path):
     assert {r.source_id: r.error for r in got} == {"a.md": None, "b.md": "not_utf8", "c.md": "empty", "d": "missing", "e": "sha256", "f": "length"}
 
 
+def test_verified_text_takes_whole_paths(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in sub%").mkdir()
+    for name in ("notes.md", "a_notes.md", "in sub%/notes.md"):
+        (tmp_path / name).write_bytes(name.encode())
+    rows = [(n, n, hashlib.sha256(n.encode()).hexdigest(), len(n)) for n in ("notes.md", "in sub%/notes.md")]
+    rows += [("up", "../notes.md", "0", 1), ("root", "/etc/hosts", "0", 1), ("part", "otes.md", "0", 1)]
+    got = readers.verified_text(spark, str(tmp_path), df(spark, rows, "source_id string, snapshot_path string, sha256 string, byte_length long")).collect()
+    assert sorted((r.source_id, r.error, r.text) for r in got) == [
+        ("in sub%/notes.md", None, "in sub%/notes.md"), ("notes.md", None, "notes.md"), ("part", "missing", None), ("root", "outside", None), ("up", "outside", None),
+    ]
+
+
 def test_cache_state(spark):
     bodies = df(spark, [("a", bytearray(b"x")), ("b", bytearray(b"y")), ("c", bytearray(b"z"))], "key string, content binary")
     import hashlib
@@ -142,6 +163,10 @@ def test_arriving_archives(spark, tmp_path):
     q = scan_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda f, s, n: seen.append((f.count(), s.count())))
     q.awaitTermination(120)
     assert seen == [(1, 1)]
+    (tmp_path / "in" / "large.zip").write_bytes(b"0" * (2 * 1024 * 1024 + 1))
+    q = scan_arriving(spark, str(tmp_path / "in"), str(tmp_path / "check"), lambda f, s, n: seen.append([r.error for r in s.collect()]))
+    q.awaitTermination(120)
+    assert seen[1:] == [["archive_too_large"]]
 
 
 def test_label_checks(spark):

@@ -58,7 +58,8 @@ def test_normal_forms(spark):
 
 
 def test_fake_vector_is_stable_and_in_range(spark):
-    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "t string").select(text.fake_vector(8)(F.col("t")).alias("v")).collect()
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string").select(text.fake_vector(8)(F.col("t")).alias("v")).collect()
+    assert rows.pop().v is None
     assert rows[0].v == rows[1].v != rows[2].v and all(-1 <= x <= 1 for r in rows for x in r.v)
 
 
