@@ -1,33 +1,35 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Documents and the gaps of open sequences are both kept in the order of their sizes.  A round sweeps the two lists: each
-document asks for its successor among the gaps, the smallest that holds it; where several ask for one gap they are served
-by rank, larger ones first, and the rest ask again in the next round, after the gaps are updated.  Rounds run by falling
-bands of sizes, so that small documents fill what larger ones leave; documents that no gap holds open new sequences.
-
-Sizes are whole numbers up to the capacity, so in both lists equal entries stand in runs, and a sweep handles runs: a
-list has as many runs as there are sizes at most, whatever the corpus.  The distributed part is the rest: cutting and
-hashing the texts, counting sizes, ranking every document within its size without gathering a size in one task, and
-looking up its place by size and rank.
+Documents and the gaps of open sequences are both sorted by size into ranges.  A round sweeps the ranges in parallel: each
+document asks for its successor among the gaps, the smallest that holds it; where several ask for one gap they are served by
+rank, larger ones first; documents without a successor in their range meet the gaps that other ranges have left.  Then gaps
+are updated and the next round begins.
+
+Sizes are whole numbers up to the capacity, so in both lists equal entries stand in runs, and the rows of a sweep are runs: their
+number follows the number of sizes and not the corpus.  Texts are cut and hashed, sizes counted, and every document is ranked within
+its size without gathering a size in one task, and then joined to the run that holds its rank.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import encoder
-from .common import small_batches, stage
+from .common import small_batches, stage, within_bound
 
 CAPACITY, END = 2_048, 0
 #: Each size is ranked in so many parts at least, and in more where there are more documents than ROWS times that.
-PARTS, MOST_PARTS, ROWS = 64, 4_096, 100_000
+PARTS, ROWS = 64, 100_000
+#: Ranges of sizes that are swept in parallel; bands, each but the last from half of its largest size on; ranks in a block.
+RANGES, BANDS, BLOCK = 4, 3, 1 << 16
+#: Rounds of the last band that run in one job; its counts decide about the next.
+ROUNDS = 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,70 +57,117 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, PIECES)
 
 
-class Gaps:
-    """The open sequences in the order of their gaps, as runs of neighbouring sequence ids."""
+def swept(docs: Iterable[tuple[int, int, int]], gaps: Iterable[tuple[int, int, int]], capacity: int) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
+    """One sweep over runs of documents (size, rank, n) and of gaps (size, sequence, n): (placed, documents left, gaps left, updated gaps).
 
-    def __init__(self, capacity: int) -> None:
-        self.runs: list[deque[tuple[int, int]]] = [deque() for _ in range(capacity + 1)]
-        self.count = np.zeros(capacity + 1, np.int64)
-
-    def add(self, gap: int, first: int, n: int) -> None:
-        if gap:
-            self.runs[gap].append((first, n))
-            self.count[gap] += n
-
-    def take(self, gap: int, n: int) -> Iterator[tuple[int, int]]:
-        """The first n sequences with this gap, as runs."""
-        self.count[gap] -= n
-        while n:
-            first, has = self.runs[gap].popleft()
-            used = min(has, n)
-            if used < has:
-                self.runs[gap].appendleft((first + used, has - used))
-            yield first, used
-            n -= used
-
-
-def best_fit(sizes: Mapping[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Packs sizes[s] documents of each size s: ((size, rank, documents, sequence, offset) of each run, sequences).
-
-    A run puts the documents rank, rank + 1, ... of a size at one offset of the sequences sequence, sequence + 1, ...
+    Both lists are walked from the largest size on.  A document's successor is the smallest gap that holds it and that no
+    larger document has taken, which is the one met last: so gaps wait on a stack.  A gap takes as many documents of the size
+    that wins it as it holds.  placed has (size, rank, n, sequence, each, offset): documents rank, rank + 1, ... of that size, each of
+    them to a sequence, the first at offset.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for s, n in sizes.items():
-        left[s] += n
-    rank, placed, opened, gaps = np.zeros(capacity + 1, np.int64), [], 0, Gaps(capacity)
-
-    def put(s: int, first: int, n: int, gap: int) -> None:
-        placed.append((s, int(rank[s]), n, first, capacity - gap))
-        rank[s] += n
-        left[s] -= n
-        gaps.add(gap - s, first, n)
-
-    high = capacity
-    while high:
-        band = slice(high // 2 + 1, high + 1)
-        while left[band].any():
-            asking = np.flatnonzero(left[band]) + band.start
-            open_gaps = np.flatnonzero(gaps.count)
-            at = np.searchsorted(open_gaps, asking)
-            served = False
-            # by rank: of those that ask for one gap the larger come first
-            for s, i in zip(asking[::-1].tolist(), at[::-1].tolist()):
-                gap = int(open_gaps[i]) if i < len(open_gaps) else 0
-                if gap and (n := int(min(left[s], gaps.count[gap]))):
-                    served = True
-                    for first, used in list(gaps.take(gap, n)):
-                        put(s, first, used, gap)
-            if not served:
-                # as many new sequences as these documents fill at least, the largest first
-                need = -(-int((left[band] * np.arange(band.start, band.stop)).sum()) // capacity)
-                for s in asking[::-1].tolist():
-                    if n := int(min(left[s], need)):
-                        put(s, opened, n, capacity)
-                        opened, need = opened + n, need - n
-        high //= 2
-    return placed, opened
+    waiting, stack = sorted(gaps), []
+    placed, left, updated = [], [], []
+    for size, rank, n in sorted(docs, key=lambda d: (-d[0], d[1])):
+        while waiting and waiting[-1][0] >= size:
+            stack.append(waiting.pop())
+        while n and stack:
+            gap, first, there = stack.pop()
+            each = gap // size
+            taken = min(n, there * each)
+            whole, rest = divmod(taken, each)
+            for m, k, at in ((whole, each, 0), (1, rest, whole)):
+                if m and k:
+                    placed.append((size, rank + at * each, m * k, first + at, k, capacity - gap))
+                    if gap > k * size:
+                        updated.append((gap - k * size, first + at, m))
+            used = whole + (rest > 0)
+            if used < there:
+                stack.append((gap, first + used, there - used))
+            rank, n = rank + taken, n - taken
+        if n:
+            left.append((size, rank, n))
+    return placed, left, stack + waiting, updated
+
+
+_RUNS = "kind int, size long, at long, n long, sequence long, each long, offset long"
+_NAMES = [x.split()[0] for x in _RUNS.split(", ")]
+_GAP, _DOCUMENT, _PLACED, _UPDATED = range(4)
+
+
+def _sweep(capacity: int):
+    """swept() over each partition's rows of _RUNS; what was placed or updated before passes through."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[tuple]] = {_GAP: [], _DOCUMENT: []}
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            done = batch.filter(pa.array(kind >= _PLACED))
+            yield pa.RecordBatch.from_arrays([done.column(c) for c in _NAMES], names=_NAMES)
+            some = batch.filter(pa.array(kind < _PLACED))
+            for k, *run in zip(*(some.column(c).to_pylist() for c in _NAMES[:4])):
+                rows[k].append(tuple(run))
+        placed, left, gaps, updated = swept(rows[_DOCUMENT], rows[_GAP], capacity)
+        out = [(_PLACED, *x) for x in placed] + [(k, *x, 0, 0, 0) for k, some in ((_DOCUMENT, left), (_GAP, gaps), (_UPDATED, updated)) for x in some]
+        columns = list(zip(*out)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(columns)], names=_NAMES)
+
+    return sweep
+
+
+def _round(docs: DataFrame, gaps: DataFrame, capacity: int, times: int = 1) -> tuple[DataFrame, int, int]:
+    """(rows, documents placed, volume left) of so many bulk-synchronous rounds, run as one job.
+
+    In a round each range of sizes is swept by itself, then what is left of all ranges together.  A document that finds its
+    successor in its own range would find the same one over all: gaps of other ranges are either too small or farther off.  What is
+    left is one run a size and gap at most, not documents.
+    """
+    kind, spread = F.col("kind"), F.pmod(F.xxhash64("size", "at"), F.lit(RANGES))
+    rows = docs.unionByName(gaps)
+    for _ in range(times):
+        rows = rows.withColumn("kind", F.when(kind == _UPDATED, _GAP).otherwise(kind))
+        own = F.when(kind == _PLACED, spread).otherwise(F.expr(f"size * {RANGES} div {capacity + 1}"))
+        rows = rows.repartitionById(RANGES, own.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
+        rest = F.when(kind >= _PLACED, spread).otherwise(0)
+        rows = rows.repartitionById(RANGES, rest.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
+    seen = Observation()
+    volume = F.sum(F.when(kind == _DOCUMENT, F.col("size") * F.col("n")).otherwise(0))
+    rows = stage(rows.observe(seen, F.count_if(kind == _PLACED).alias("placed"), F.coalesce(volume, F.lit(0)).alias("volume")), "round")
+    return rows, seen.get["placed"], seen.get["volume"]
+
+
+def best_fit(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Packs n documents of each size in sizes (size, n): (size, rank, n, sequence, each, offset), see swept().
+
+    As many sequences as all sizes fill are open from the start.  Rounds run by falling bands of sizes, so that small
+    documents fill what larger ones leave; where a round places nothing, the documents left open new sequences.  All placing is
+    done by Spark; of a round its counts alone reach the driver.
+    """
+    spark = sizes.sparkSession
+    zero = [F.lit(0).cast("long").alias(c) for c in ("sequence", "each", "offset")]
+    sizes = stage(sizes.select(F.lit(_DOCUMENT).alias("kind"), F.col("size").cast("long").alias("size"), F.lit(0).cast("long").alias("at"), F.col("n").cast("long").alias("n"), *zero), "sizes")
+
+    def opened(first: int, volume: int) -> tuple[DataFrame, int]:
+        n = -(-volume // capacity)
+        return spark.createDataFrame([(_GAP, capacity, first, n, 0, 0, 0)] if n else [], _RUNS), first + n
+
+    placed = spark.createDataFrame([], _RUNS)
+    gaps, count = opened(0, int(sizes.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0))
+    docs = sizes.limit(0)
+    bounds = [*(capacity >> k for k in range(BANDS)), 0]
+    for high, low in zip(bounds, bounds[1:]):
+        docs = docs.unionByName(sizes.where((F.col("size") > low) & (F.col("size") <= high)))
+        while True:
+            done, some, volume = _round(docs, gaps, capacity, 1 if low else ROUNDS)
+            placed = placed.unionByName(done.where(F.col("kind") == _PLACED))
+            docs = done.where(F.col("kind") == _DOCUMENT)
+            gaps = done.where(F.col("kind").isin(_GAP, _UPDATED)).withColumn("kind", F.lit(_GAP))
+            if not volume:
+                docs = sizes.limit(0)
+                break
+            if not some:
+                more, count = opened(count, volume)
+                gaps = gaps.unionByName(more)
+    return placed.select("size", F.col("at").alias("rank"), "n", "sequence", "each", "offset")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -129,29 +178,23 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     repeated rows, which may change places with each other.
     """
     items = stage(pieces(docs, vocabulary, capacity, end), "pieces")
-    parts = min(MOST_PARTS, max(PARTS, items.count() // ROWS))
+    parts = max(PARTS, items.count() // ROWS)
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = stage(items.groupBy("length", "part").agg(F.count("*").alias("n")), "sizes")
-    # one row a size: capacity rows at most
-    sizes = dict(counts.groupBy("length").agg(F.sum("n")).collect())
-    runs, _ = best_fit(sizes, capacity)
-    runs.sort()
-    table = docs.sparkSession.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 5))
+    runs = stage(best_fit(counts.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), capacity), "runs")
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     bases = counts.select("length", "part", before.alias("base"))
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = items.withColumn("own", own).join(bases, ["length", "part"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("own")).alias("rank"))
-
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, rank, _, sequence, offset = table.value.T
-        keys = size << 48 | rank
-        for batch in batches:
-            length, r = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            i = np.searchsorted(keys, length << 48 | r, "right") - 1
-            where = [pa.array(sequence[i] + r - rank[i]), pa.array(offset[i])]
-            kept = [batch.column(x.split()[0]) for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([*kept, *where], names=[*(x.split()[0] for x in PIECES.split(", ")), "sequence_id", "offset"])
-
-    return ranked.mapInArrow(looked_up, f"{PIECES}, sequence_id long, offset long")
+    ranked = ranked.withColumn("place", F.col("base") + F.col("own")).withColumn("block", F.expr(f"place div {BLOCK}"))
+    # a run is told to each block of ranks that it reaches into, so that a rank looks for it among few
+    last = F.expr(f"(rank + n - 1) div {BLOCK}")
+    blocks = runs.select("*", F.explode(F.sequence(F.expr(f"rank div {BLOCK}"), last)).alias("block"))
+    met = (F.col("d.length") == F.col("r.size")) & (F.col("d.block") == F.col("r.block")) & F.expr("d.place between r.rank and r.rank + r.n - 1")
+    out = ranked.alias("d").join(within_bound(stage(blocks, "blocks")).alias("r"), met)
+    nth = F.col("place") - F.col("rank")
+    return out.select(
+        "doc_id", "piece", "start", "d.length", "ids_crc32", (F.col("sequence") + F.expr("(place - rank) div each")).alias("sequence_id"),
+        (F.col("offset") + nth % F.col("each") * F.col("d.length")).alias("offset"),
+    )
