@@ -1,6 +1,6 @@
 """Training-order materialisation: token ids in fixed-stride binary shards, in a keyed random order.
 
-The corpus is one stream of ids, cut into sequences of equal length.  A keyed Feistel network permutes a domain of the
+The corpus is one stream of ids, documents in the order of doc_id, cut into sequences of equal length.  A keyed Feistel network permutes a domain of the
 least even number of bits that holds all sequences; walking its cycle until the result is a valid number makes it a permutation
 of the sequences, so each has a global slot that any task computes by itself, and no order is ever sorted or stored.
 A shard is a range of slots.  Slot s lies at byte (s - first) * stride of its shard, so a reader reads on sequentially and
@@ -17,20 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyarrow import fs
+from pyarrow import dataset, fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import qualified, session_dir
 from .bytebpe import encoder
-from .common import checkpoint_dir, small_batches, stage
+from .common import checkpoint_dir, small_batches, stage, within_bound
 
 LENGTH, END, SLOTS = 1_024, 0, 4_096
 KEY, ROUNDS = 0x5EED, 6
 #: Bytes of fragments that a task gathers by shard before it sends them on, compressed together.
 GATHER = 16 << 20
-TOKENS = "doc_id long, part int, at long, n long, ids binary"
+#: Documents of a range in which places in the stream are summed up, and the most partitions that write shards.
+RANGE, WRITERS = 100_000, 32_768
+TOKENS = "doc_id long, part int, at int, n long, tie long, ids binary"
 INDEX = "shard int, slot long, sequence long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>"
 
 
@@ -76,7 +80,7 @@ class Permutation:
 
 
 def tokenised(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Each document's ids, closed by end, with its place at in the stream of its part (the task that wrote it)."""
+    """Each document's ids, closed by end, with their hash (tie), and its number at among the documents of the task that wrote it (part)."""
     small_batches(docs.sparkSession)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,23 +91,56 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end))
                 if ids.max() >= 1 << 16:
                     raise ValueError("ids of this vocabulary need more than two bytes")
-                rows.append((at, len(ids), ids.astype("<u2").tobytes()))
-                at += len(ids)
-            starts, sizes, data = zip(*rows) if rows else ((), (), ())
-            columns = [batch.column("doc_id"), pa.array([part] * len(rows), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())]
+                data = ids.astype("<u2").tobytes()
+                rows.append((at, len(ids), xxhash.xxh64_intdigest(data) - (1 << 63), data))
+                at += 1
+            numbers, sizes, ties, data = zip(*rows) if rows else ((), (), (), ())
+            columns = [batch.column("doc_id"), pa.array([part] * len(rows), pa.int32()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int64()), pa.array(ties, pa.int64()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in TOKENS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, TOKENS)
 
 
-def _fragments(base: dict[int, int], order: Permutation, length: int, slots: int):
-    """Cuts documents at the sequences' borders and gathers the fragments by shard."""
+def places(tokens: DataFrame) -> DataFrame:
+    """(part, at, begin): where each document begins in the stream, which is in the order of doc_id (null first), then of the ids' hash.
+
+    Rows without their ids are sorted into ranges; ranges are summed up, and then the documents of each.  Documents of one id and
+    text are alike, so their order says nothing.
+    """
+    order = [F.col("doc_id").asc_nulls_first(), "tie", "part", "at"]
+    sizes = tokens.select("doc_id", "tie", "part", "at", "n")
+    n = max(1, -(-sizes.count() // RANGE))
+    ranged = stage(sizes.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    # one row a range
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    bases = ranged.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("base"))
+    own = F.sum("n").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return ranged.withColumn("own", own).join(within_bound(stage(bases, "bases")), "range").select("part", "at", (F.col("base") + F.col("own")).alias("begin"))
+
+
+def _fragments(begins: str, order: Permutation, length: int, slots: int):
+    """Cuts documents at the sequences' borders and gathers the fragments by shard.
+
+    begins is the folder in which places() is, a subfolder for each part: a task reads those of the parts that it meets, so ids aren't
+    moved to learn where they belong.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
+        where, top = fs.FileSystem.from_uri(begins)
+        known: dict[int, np.ndarray] = {}
         held: dict[int, tuple[list, list]] = {}
         size = 0
 
+        def begin_of(part: int, at: int) -> int:
+            if part not in known:
+                known.clear()  # rows come part by part
+                found = dataset.dataset(f"{top}/part={part}", filesystem=where, format="parquet").to_table(columns=["at", "begin"])
+                own = np.empty(len(found), np.int64)
+                own[found.column("at").to_numpy()] = found.column("begin").to_numpy()
+                known[part] = own
+            return int(known[part][at])
+
         def sent() -> pa.RecordBatch:
             shards = sorted(held)
             blobs = []
@@ -117,7 +154,7 @@ def _fragments(base: dict[int, int], order: Permutation, length: int, slots: int
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "at", "n")), batch.column("ids"))
             pieces = []
             for doc_id, part, at, n, ids in rows:
-                data, begin = ids.as_py(), base[part] + at
+                data, begin = ids.as_py(), begin_of(part, at)
                 first = begin // length
                 for q in range(first, (begin + n - 1) // length + 1):
                     lo, hi = max(begin, q * length), min(begin + n, (q + 1) * length)
@@ -192,29 +229,31 @@ def materialise(docs: DataFrame, out: str | None = None, vocabulary: str | None
 
     One row a sequence: shard, slot, sequence, byte_offset, n_tokens (without padding), ids_crc32 (of its stride), doc_ids (of its parts, in
     order) and path.  docs needs doc_id (long) and text; other columns are ignored.  A null or empty text is the
-    closing id alone; null doc_ids are null in doc_ids; repeated rows are written as often.  The last sequence is padded with end.  An
-    empty table gives no rows and no shard.  The stream is in the order in which Spark splits the table, so equal files
-    and split sizes give equal shards.
+    closing id alone; null doc_ids are null in doc_ids and come first; repeated rows are written as often.  The last sequence is padded with
+    end.  An empty table gives no rows and no shard.  The stream follows doc_id and text alone, so the same rows give the same
+    shards, however they are split.  Shards are written to a folder of their own under out; the manifest, which names it, is
+    replaced last, so a reader sees the old shards or the new ones.
     """
     spark = docs.sparkSession
-    out = (out or f"{checkpoint_dir(spark)}/lodestone-shards-{uuid.uuid4().hex}").rstrip("/")
-    out = out if "://" in out else f"file://{out}"
+    out = qualified(spark, out or f"{checkpoint_dir(spark)}/corpus-shards-{uuid.uuid4().hex}").rstrip("/")
     tokens = stage(tokenised(docs, vocabulary, end), "tokens", level=6)
-    # one row a task
-    base, total = {}, 0
-    for part, n in sorted(tokens.groupBy("part").agg(F.sum("n")).collect()):
-        base[part], total = total, total + n
+    begins = f"{qualified(spark, session_dir(spark))}/begins-{uuid.uuid4().hex}"
+    places(tokens).repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(begins)
+    total = tokens.agg(F.sum("n")).first()[0] or 0
     sequences = -(-total // length)
     where, top = fs.FileSystem.from_uri(out)
-    where.create_dir(top, recursive=True)
-    cut = _fragments(base, Permutation(sequences, key), length, slots)
-    # as many partitions as shards, within reason, each with as many of them; a task holds one shard at a time
-    n = max(1, min(-(-sequences // slots), 32_768))
-    dealt = tokens.mapInArrow(cut, "shard int, blob binary").repartitionById(n, F.col("shard") % n).sortWithinPartitions("shard")
-    index = stage(dealt.mapInArrow(_written(out, total, length, slots, end), INDEX), "index")
-    with where.open_output_stream(f"{top}/manifest.json") as f:
-        f.write(json.dumps({"tokens": total, "sequences": sequences, "length": length, "bytes_per_id": 2, "slots_per_shard": slots, "key": key, "end": end}).encode())
-    return index.withColumn("path", F.concat(F.lit(f"{out}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")))
+    folder = f"shards-{uuid.uuid4().hex}"
+    where.create_dir(f"{top}/{folder}", recursive=True)
+    cut = _fragments(begins, Permutation(sequences, key), length, slots)
+    # ranges of slots: each partition writes neighbouring shards; a task holds one shard at a time
+    shards = max(1, -(-sequences // slots))
+    n = min(shards, WRITERS)
+    dealt = tokens.mapInArrow(cut, "shard int, blob binary").repartitionById(n, F.expr(f"cast(cast(shard as bigint) * {n} div {shards} as int)")).sortWithinPartitions("shard")
+    index = stage(dealt.mapInArrow(_written(f"{out}/{folder}", total, length, slots, end), INDEX), "index")
+    with where.open_output_stream(draft := f"{top}/.manifest-{uuid.uuid4().hex}") as f:
+        f.write(json.dumps({"tokens": total, "sequences": sequences, "length": length, "bytes_per_id": 2, "slots_per_shard": slots, "key": key, "end": end, "folder": folder}).encode())
+    where.move(draft, f"{top}/manifest.json")
+    return index.withColumn("path", F.concat(F.lit(f"{out}/{folder}/shard-"), F.lpad(F.col("shard").cast("string"), 8, "0"), F.lit(".bin")))
 
 
 def read(out: str, slot: int = 0, n: int | None = None) -> Iterator[np.ndarray]:
@@ -225,7 +264,7 @@ def read(out: str, slot: int = 0, n: int | None = None) -> Iterator[np.ndarray]:
     last = m["sequences"] if n is None else min(m["sequences"], slot + n)
     stride, slots = m["bytes_per_id"] * m["length"], m["slots_per_shard"]
     while slot < last:
-        with where.open_input_file(f"{top}/shard-{slot // slots:08d}.bin") as f:
+        with where.open_input_file(f"{top}/{m['folder']}/shard-{slot // slots:08d}.bin") as f:
             f.seek(slot % slots * stride)
             for _ in range(min(last - slot, slots - slot % slots)):
                 yield np.frombuffer(f.read(stride), "<u2")
