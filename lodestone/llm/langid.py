@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from .common import small_batches, stage, within_bound
 
@@ -25,9 +25,11 @@ HIDDEN, WINDOW, BATCH = 12, 128, 2_048
 SAMPLE, CUTS = 1_500, 4
 STEPS, STEP_WINDOWS, RATE, SEED = 450, 192, 0.02, 7
 UNKNOWN = "und"
-#: The score that accepted() asks for: with two languages or more, a text that is like none of them stays below it only
-#: if all are about as likely, so short texts in a known language stay.
-LEAST = 0.3
+#: The label of what is in none of the languages learned, for networks that are to reject; it never is a prediction.
+OTHER = ""
+#: accepted() rejects a text if its share of OTHER leaves less than LEAST to all languages, or less than what all but a share of
+#: STRAY of the windows that were learned from have.  Texts of fewer bytes than SHORT say too little to be rejected.
+LEAST, STRAY, SHORT = 0.5, 0.001, 64
 
 
 @dataclass
@@ -36,6 +38,8 @@ class Network:
 
     labels: list[str]
     weights: dict[str, np.ndarray]
+    #: What accepted() asks for, of a network with the label OTHER.
+    least: float = LEAST
 
     @classmethod
     def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = SEED) -> Network:
@@ -227,14 +231,43 @@ def sample(docs: DataFrame, documents: int = SAMPLE, cuts: int = CUTS, window: i
     return [(r.lang, _read(r.text)[:window]) for r in sorted(found, key=lambda r: (r.doc_id, r.cut, r.lang, r.text))]
 
 
-def fit(docs: DataFrame, hidden: int = HIDDEN, **size: int) -> Network | None:
-    """A network that is trained on a sample of docs; None without any labelled text."""
+def strangers(windows: list[bytes], seed: int = SEED) -> list[bytes]:
+    """Windows in no language, made from those in one: other letters for its letters (one substitution a window), its characters
+    in another order, or letters of other scripts in words as long."""
+    rng, out = np.random.default_rng(seed), []
+    scripts = [(0x0391, 0x03C9), (0x0410, 0x044F), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    for i, window in enumerate(windows):
+        text = window.decode(errors="ignore")
+        if i % 4 < 2:
+            letters = sorted(set(filter(str.isalpha, text)) | set("abcdefghijklmnopqrstuvwxyz"))
+            text = text.translate(dict(zip(map(ord, letters), rng.permutation(letters))))
+        elif i % 4 == 2:
+            text = "".join(rng.permutation(list(text))) if text else text
+        else:
+            low, high = scripts[rng.integers(len(scripts))]
+            text = "".join(chr(rng.integers(low, high + 1)) if c.isalpha() else c for c in text)
+        out.append(text.lower().encode()[: len(window)])
+    return [w for w in out if w]
+
+
+def fit(docs: DataFrame, hidden: int = HIDDEN, other: bool = False, **size: int) -> Network | None:
+    """A network that is trained on a sample of docs; None without any labelled text.
+
+    With other it also has the label OTHER, learned from strangers() of the same sample, and the least share for accepted().
+    """
     found = sample(docs, **size)
     labels = sorted({lang for lang, _ in found})
     if not labels:
         return None
     number = {lang: i for i, lang in enumerate(labels)}
-    return Network.new(labels, hidden).train([(w, number[lang]) for lang, w in found])
+    windows = [(w, number[lang]) for lang, w in found]
+    if not other:
+        return Network.new(labels, hidden).train(windows)
+    strange = [(w, len(labels)) for w in strangers([w for _, w in found])]
+    net = Network.new([*labels, OTHER], hidden).train(windows + strange)
+    own = 1 - net.prepared().pooled([w for w, _ in windows])[:, -1]
+    net.least = min(LEAST, float(np.quantile(own, STRAY)))
+    return net
 
 
 def _read(text: str) -> bytes:
@@ -242,31 +275,37 @@ def _read(text: str) -> bytes:
     return text.lower().encode()
 
 
-def _labelled(labeller: Labeller | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The label and score of each text."""
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def _labelled(labeller: Labeller | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """The label and score of each text, and the share of its probabilities that languages have; OTHER is left out of labels and scores."""
+    names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     there = [i for i, t in enumerate(texts) if labeller and t and any(map(str.isalpha, t))]
     for i, p in zip(there, labeller.pooled([_read(texts[i]) for i in there]) if there else ()):
+        other = float(p[-1]) if labeller.labels[-1] == OTHER else 0.0
+        p = p[:-1] if labeller.labels[-1] == OTHER else p
         k = int(p.argmax())
-        names[i], scores[i] = labeller.labels[k], min(1.0, float(p[k]))
-    return names, scores
+        names[i], scores[i], shares[i] = labeller.labels[k], min(1.0, float(p[k])), 1.0 - other
+    return names, scores, shares
 
 
-def accepted(docs: DataFrame, least: float = LEAST, network: Network | None = None) -> DataFrame:
-    """The rows of docs whose text is in a language that was learned, by a score of least at least.  Columns as in docs.
+def accepted(docs: DataFrame, network: Network | None = None) -> DataFrame:
+    """The rows of docs whose text is in a language that was learned.  Columns as in docs.
 
-    Null texts and texts without a letter go; where nothing could be learned, all go.  For the cases see identify().
+    Null texts and texts without a letter go; where nothing could be learned, all go.  So do texts of SHORT bytes or more that the
+    network holds to be in another language or in none: OTHER leaves less to the languages than network.least.  Shorter texts stay.
+    For the other cases see identify().
     """
-    network = network or fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"))
+    network = network or fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), other=True)
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf(DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(BooleanType())
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         labeller = network and network.prepared()
         for texts in batches:
-            yield pd.Series(_labelled(labeller, [None if t is None else str(t) for t in texts])[1], dtype="float64")
+            found = [None if t is None else str(t) for t in texts]
+            names, _, shares = _labelled(labeller, found)
+            yield pd.Series([n != UNKNOWN and (x >= network.least or len(t.encode()) < SHORT) for t, n, x in zip(found, names, shares)], dtype="bool")
 
-    return docs.where(score(F.col("text")) >= least)
+    return docs.where(known(F.col("text")))
 
 
 def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
@@ -283,7 +322,7 @@ def identify(docs: DataFrame, network: Network | None = None) -> DataFrame:
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = network and network.prepared()
         for some in batches:
-            names, scores = _labelled(labeller, some.column("text").to_pylist())
+            names, scores, _ = _labelled(labeller, some.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(labelled, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -87,6 +87,23 @@ def test_langid_odd_rows(make, odd, network):
     assert kept.columns == make(odd, clash=True).columns and {r.doc_id for r in kept.collect()} >= {1, 7, 8, 9} and not {2, 3, 4} & {r.doc_id for r in kept.collect()}
 
 
+def test_other_languages_and_noise_are_rejected(make):
+    own = texts()
+    net = langid.fit(make(own), other=True)
+    rng = random.Random(5)
+    odd = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "".join(rng.choices("qxzjkvwpy  ", k=200)), "".join(rng.choices("etaoin shrdlu", k=200)),
+    ]
+    rows = own + [(90_000 + i, t, None, "s") for i, t in enumerate(odd)] + [(95_000, "xq", "en", "s"), (95_001, "123 !", "en", "s")]
+    kept = {r.doc_id for r in langid.accepted(make(rows), net).collect()}
+    assert not kept & {*range(90_000, 90_000 + len(odd)), 95_001}
+    assert 95_000 in kept and sum(i not in kept for i, *_ in own) <= len(own) // 200
+    assert not langid.accepted(make([(1, "some text of enough letters, but nothing to learn from it at all, really", None, "s")])).count()
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "text", None, "s")], [(1, None, "en", "s")]])
 def test_langid_without_anything_to_learn(make, rows):
     got = langid.identify(make(rows)).collect()
