@@ -1,31 +1,36 @@
 """Quality rules with adaptive thresholds.
 
-Two fixed rules fail a text outright.  All others compare a text with its own kind: mergeable quantile sketches (KLL) of
-each measure are kept per language and source, and a text fails if a measure lies far outside its group's quartiles.
-Groups with few texts use their language's sketch, which is their merger, and languages with few texts the whole corpus's.
+Two fixed rules fail a text outright.  All others compare a text with its own kind: quantile sketches of each measure are kept
+per language and source, and a text fails if a measure lies far outside its group's usual spread.  A sketch counts values in
+buckets of equal relative width (DDSketch, Masson et al. 2019); sketches merge by adding counts, in any order to the same
+result.  A group's quantiles are blended with its language's, and those with the whole corpus's, by the number of texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage, within_bound
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Texts that a group's sketch needs before its quartiles are trusted.
-ENOUGH = 200
-#: A measure fails beyond FENCE interquartile ranges from the quartiles, and never within slack of them.
-FENCE = 3.0
-#: Measure: (slack, whether low values fail too).
-MEASURES = {"symbols_per_word": (0.1, False), "dup_line_share": (0.4, False), "chars_per_word": (1.5, True), "repeat_share": (0.3, False)}
+#: The share by which a sketch's quantiles may be off.
+ACCURACY = 0.005
+#: A parent's quantiles weigh as much as so many texts of the group.
+PRIOR = 200
+#: Measure: (upper quantile, reach, slack, whether low values fail too).  A measure fails beyond the upper quantile by more than
+#: reach times its distance from the median, and never within slack of it; low values in the same way.  The upper quantile is
+#: one that ordinary texts with a repeated header or a table don't exceed.
+MEASURES = {"symbols_per_word": (0.9, 3.0, 0.1, False), "dup_line_share": (0.99, 3.0, 0.05, False), "chars_per_word": (0.95, 2.0, 0.5, True), "repeat_share": (0.99, 3.0, 0.05, False)}
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+_GAMMA, _ZERO = (1 + ACCURACY) / (1 - ACCURACY), -(1 << 40)
 _SPACE = " \t\n\v\f\r"
 
 
@@ -67,27 +72,49 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "lang", "source", *names])
 
 
+def _bucket(value: Column) -> Column:
+    """The number of value's bucket; zero has one of its own, below all others."""
+    return F.when(value > 1e-9, F.ceil(F.log(value) / F.lit(math.log(_GAMMA)))).otherwise(_ZERO).cast("long")
+
+
+def sketches(rows: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): the sketches of all groups; bounded in rows by the range of the values."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("m")
+    return rows.select("lang", "source", each).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
+
+
+def quantiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, n, low, mid, high) of the sketches that counts merges to by keys."""
+    merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy(*keys, "measure")
+    upto = F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    value = F.when(F.col("bucket") == _ZERO, 0.0).otherwise(F.pow(F.lit(_GAMMA), F.col("bucket")) * (2 / (1 + _GAMMA)))
+    ranked = merged.select(*keys, "measure", upto.alias("upto"), F.sum("n").over(by).alias("n"), value.alias("value"))
+    high = F.element_at(F.create_map(*[F.lit(x) for m, (q, *_) in MEASURES.items() for x in (m, q)]), F.col("measure"))
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("value")))
+    return ranked.groupBy(*keys, "measure").agg(F.max("n").alias("n"), at(1 - high).alias("low"), at(F.lit(0.5)).alias("mid"), at(high).alias("high"))
+
+
 def fences(rows: DataFrame) -> DataFrame:
-    """(lang, source, lo_..., hi_...): the bounds of each measure in each group of rows.
+    """(lang, source, lo_..., hi_...): the bounds of each measure in each group of rows; those of equal rows are equal, whatever their order.
 
-    One sketch a group, language and measure: they merge upwards, so the rows are read once.
+    The rows are read once; all else is merged from the groups' sketches.
     """
-    names = list(MEASURES)
-    groups = stage(rows.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in names]), "sketches")
-    langs = groups.groupBy("lang").agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in names])
-    langs = stage(langs, "sketches")
-    whole = langs.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in names])
-    # one row
-    whole = whole.select(*[F.col(m).alias(f"w_{m}") for m in names])
-    merged = langs.select(F.col("lang").alias("l_lang"), F.col("n").alias("l_n"), *[F.col(m).alias(f"l_{m}") for m in names])
-    found = groups.join(merged, F.col("lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(whole))
-    bounds = []
-    for m, (slack, low) in MEASURES.items():
-        best = F.when(F.col("n") >= ENOUGH, F.col(m)).when(F.col("l_n") >= ENOUGH, F.col(f"l_{m}")).otherwise(F.col(f"w_{m}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(best, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(FENCE * (q3 - q1), F.lit(slack))
-        bounds += [(q3 + reach).alias(f"hi_{m}"), (q1 - reach if low else F.lit(None).cast("double")).alias(f"lo_{m}")]
-    return found.select("lang", "source", *bounds)
+    counts = stage(sketches(rows.where("not base_failed")), "sketches")
+    levels = [stage(quantiles(counts, keys), "quantiles") for keys in (["lang", "source"], ["lang"], [])]
+    group, lang, whole = (df.select(*[F.col(c).alias(f"{a}_{c}") for c in df.columns]) for a, df in zip("glw", levels))
+    same = F.col("g_measure") == F.col("l_measure")
+    found = group.join(within_bound(lang), same & F.col("g_lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(whole), F.col("g_measure") == F.col("w_measure"))  # one row a measure
+    blend = lambda n, own, parent: (n * own + PRIOR * parent) / (n + PRIOR)
+    low, mid, high = (blend(F.col("g_n"), F.col(f"g_{c}"), blend(F.col("l_n"), F.col(f"l_{c}"), F.col(f"w_{c}"))) for c in ("low", "mid", "high"))
+    reach, slack = (F.element_at(F.create_map(*[F.lit(x) for m, v in MEASURES.items() for x in (m, v[i])]), F.col("g_measure")) for i in (1, 2))
+    found = found.select(
+        F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_measure").alias("measure"),
+        (high + F.greatest(reach * (high - mid), slack)).alias("hi"), (low - F.greatest(reach * (mid - low), slack)).alias("lo"),
+    )
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
+    bounds = [b for m, (*_, both) in MEASURES.items() for b in (of(m, "hi").alias(f"hi_{m}"), (of(m, "lo") if both else F.lit(None).cast("double")).alias(f"lo_{m}"))]
+    return found.groupBy("lang", "source").agg(*bounds)
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -95,7 +122,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id (long), text, lang and source; other columns are ignored.  Null and empty texts have no words and
     fail the base rules.  Null languages and sources are groups of their own.  Texts that fail the base rules don't shape
-    the thresholds; where a group has no other texts all its texts fail.  Repeated rows each give a row.  An empty
+    the thresholds; where a group has no other texts all its texts fail.  A measure exactly at a bound is within it.  Texts of any length are
+    measured whole.  Repeated rows each give a row.  An empty
     table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -111,7 +139,7 @@ def judged(docs: DataFrame) -> DataFrame:
     bounds = within_bound(stage(fences(rows), "fences"))
     same = F.col("r.lang").eqNullSafe(F.col("b.lang")) & F.col("r.source").eqNullSafe(F.col("b.source"))
     fits: Column = F.lit(True)
-    for m, (_, low) in MEASURES.items():
+    for m, (*_, low) in MEASURES.items():
         fits &= F.col(m) <= F.col(f"hi_{m}")
         if low:
             fits &= F.col(m) >= F.col(f"lo_{m}")

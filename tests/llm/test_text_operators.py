@@ -1,5 +1,6 @@
 """Language ID, secrets, quality rules and token counts."""
 
+import math
 import random
 import re
 import zlib
@@ -177,6 +178,53 @@ def test_thresholds_follow_the_group(make):
     assert [kept[i] for i in (2000, 2001, 2002, 2003)] == [(False, False), (False, False), (False, True), (False, True)]
 
 
+def test_thresholds_and_verdicts_equal_brute_force(make):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(420):
+        lang, source = rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None])
+        w = [x * rng.choice([1, 1, 1, 2]) for x in rng.choices(words, k=rng.randint(40, 120))]
+        w = [x + rng.choice(["", "#"]) for x in w] if rng.random() < 0.1 else w
+        w = w + w[:20] if rng.random() < 0.1 else w
+        rows.append((i, "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12)), lang, source))
+    measured = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, repeated, lines = quality.measure(t)
+        measured.append((i, lang, source, n < 50 or 100 * repeated > 50 * n, {"symbols_per_word": symbols / n, "chars_per_word": chars / n, "repeat_share": repeated / n, "dup_line_share": dup / lines}))
+
+    def quantile(values, q):
+        gamma = 1.005 / 0.995
+        found = sorted(-math.inf if v == 0 else math.ceil(math.log(v) / math.log(gamma)) for v in values)
+        b = found[max(0, math.ceil(q * len(found) - 1e-9) - 1)]
+        return 0.0 if b == -math.inf else 2 * gamma**b / (1 + gamma)
+
+    def bounds(m, lang, source):
+        high, reach, slack, both = quality.MEASURES[m]
+        of = lambda keep: [x[m] for _, a, b, failed, x in measured if not failed and keep(a, b)]
+        levels = [of(lambda a, b: (a, b) == (lang, source)), of(lambda a, b: a == lang), of(lambda a, b: True)]
+        out = []
+        for q in (1 - high, 0.5, high):
+            value = quantile(levels[2], q)
+            for values in (levels[1], levels[0]):
+                value = (len(values) * quantile(values, q) + 200 * value) / (len(values) + 200)
+            out.append(value)
+        low, mid, up = out
+        return (low - max(reach * (mid - low), slack) if both else -math.inf), up + max(reach * (up - mid), slack)
+
+    want = {}
+    for i, lang, source, failed, x in measured:
+        fits = [(lo, x[m], hi) for m in quality.MEASURES for lo, hi in [bounds(m, lang, source)]]
+        assert all(min(abs(v - lo), abs(v - hi)) > 1e-6 for lo, v, hi in fits)
+        want[i] = not failed and all(lo <= v <= hi for lo, v, hi in fits)
+    got = quality.judged(make(rows, partitions=3)).collect()
+    assert {r.doc_id: r.kept for r in got} == want and 10 < sum(not k for k in want.values()) < 200
+    by = {(lang, source): bounds("repeat_share", lang, source)[1] for _, lang, source, failed, _ in measured if not failed}
+    assert all(abs(r.hi_repeat_share - by[r.lang, r.source]) < 1e-9 for r in got if (r.lang, r.source) in by)
+    again = quality.judged(make(rows[::-1], partitions=5)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))  # bounds and all
+
+
 def test_quality_odd_rows(make, odd):
     rows = quality.judged(make(odd, clash=True)).collect()
     assert len(rows) == len(odd) and all(r.kept is not None and not (r.kept and r.base_failed) for r in rows)
