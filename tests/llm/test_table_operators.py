@@ -141,10 +141,12 @@ def likeness(a, b, k=128):
     return len({*u} & {*a} & {*b}) / len(u) if u else 1.0
 
 
-@pytest.mark.parametrize("bucket", [3, 2_000])
-def test_fingerprints_equal_brute_force(make, odd, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket, fan", [(3, 512), (2_000, 512), (2, 4)])
+def test_fingerprints_equal_brute_force(make, odd, monkeypatch, bucket, fan):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket)
-    rows = [r for r in odd if r[0] is not None][1:] + [(i, " ".join(random.Random(i).choices(WORDS, k=i)), "en", "s") for i in range(20, 40)]
+    monkeypatch.setattr(fingerprints, "FAN", fan)
+    rows = [r for r in odd if r[0] is not None][1:] + [(i, random.Random(i).choice(" \n\t").join(random.Random(i).choices(WORDS, k=i)), "en", "s") for i in range(20, 40)]
+    rows += [(60 + i, " ".join(WORDS[:i]) + "  " * (i % 3), "en", "s") for i in range(9)]
     got = {r.doc_id: r for r in fingerprints.edited_likeness(make(rows, clash=True)).collect()}
     texts = sorted((i, t or "") for i, t, *_ in rows)
     assert len(got) == len(texts)
@@ -153,6 +155,7 @@ def test_fingerprints_equal_brute_force(make, odd, monkeypatch, bucket):
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         a, b, c = map(brute_sketch, (t, edited, after))
         r = got[i]
+        assert r.edited_fingerprint == "".join(f"{x & (1 << 64) - 1:016x}" for x in b)
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.fingerprint == "".join(f"{x & (1 << 64) - 1:016x}" for x in a) and (r.near_edited, r.near_next) == (likeness(a, b), likeness(a, c))
 
