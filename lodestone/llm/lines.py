@@ -53,7 +53,9 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) ->
     text = docs.alias("d").withColumn("__tie", F.xxhash64("text"))
     rows = text.join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("__tie") == F.col("g.tie")), "left")
     lines = F.split("d.text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("__gone", i))
+    # the places that stay, by a hash of those that go; the one-element array gives the lines a name, so that they are split once
+    stay = lambda each: F.transform(F.array_except(F.sequence(F.lit(0), F.size(each) - 1), "__gone"), lambda i: F.get(each, i))
+    left = F.element_at(F.transform(F.array(lines), stay), 1)
     text = F.when(F.col("__gone").isNull(), F.col("d.text")).otherwise(F.array_join(left, "\n"))
     keep = [text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     n = {"n_lines": F.size(lines), "n_removed": F.size("__gone")} if counts else {}

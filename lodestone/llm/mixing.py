@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage, within_bound
+from .common import n_words, running, stage, within_bound
 
 #: Bits of the hash that each histogram resolves, and the number of histograms.
 BITS, LEVELS = 12, 3
@@ -32,9 +32,9 @@ def targets(totals: DataFrame, weights: Sequence[int], cap: float, share: float)
     the rest is shared again by weight.  That is one level for all sources below their caps, target = level * weight,
     and each round below finds it for the sources known to be capped so far; one row a round reaches the driver.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (rank % len(weights) + 1).cast("int"))
-    totals = stage(totals.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap))), "sources")
+    ranked = running(stage(totals, "totals"), [F.col("source").asc_nulls_last()], F.lit(1), "rank")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    totals = stage(ranked.withColumn("w", w).withColumn("most", F.col("source_size") * F.lit(float(cap))), "sources")
     whole = float(totals.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
     while True:

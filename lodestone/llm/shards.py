@@ -21,12 +21,12 @@ import xxhash
 import zstandard
 from pyarrow import dataset, fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import qualified, session_dir
 from .bytebpe import encoder
-from .common import checkpoint_dir, small_batches, stage, within_bound
+from .common import checkpoint_dir, running, small_batches, stage
 
 LENGTH, END, SLOTS = 1_024, 0, 4_096
 KEY, ROUNDS = 0x5EED, 6
@@ -109,13 +109,7 @@ def places(tokens: DataFrame) -> DataFrame:
     """
     order = [F.col("doc_id").asc_nulls_first(), "tie", "part", "at"]
     sizes = tokens.select("doc_id", "tie", "part", "at", "n")
-    n = max(1, -(-sizes.count() // RANGE))
-    ranged = stage(sizes.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    # one row a range
-    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    bases = ranged.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("base"))
-    own = F.sum("n").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return ranged.withColumn("own", own).join(within_bound(stage(bases, "bases")), "range").select("part", "at", (F.col("base") + F.col("own")).alias("begin"))
+    return running(sizes, [F.col("doc_id").asc_nulls_first(), "tie", "part", "at"], F.col("n"), "begin", RANGE).select("part", "at", "begin")
 
 
 def _fragments(begins: str, order: Permutation, length: int, slots: int):

@@ -110,8 +110,8 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best")
     kept = rows.groupBy("root").agg(best).select("best.doc_id", "best.tie")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (text_hash(F.col("d.text")) == F.col("k.tie"))
-    # most rows stay, so the kept ids grow with the input; hashing them by partition spares sorting the texts
-    out = docs.alias("d").join(kept.alias("k").hint("shuffle_hash"), same, "left_semi")
+    # most rows stay, so the kept ids grow with the input: both sides are sorted, which spills where memory is short
+    out = docs.alias("d").join(kept.alias("k").hint("merge"), same, "left_semi")
     repeated = rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
