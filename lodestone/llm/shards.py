@@ -121,7 +121,7 @@ def _fragments(begins: str, order: Permutation, length: int, slots: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        where, top = fs.FileSystem.from_uri(begins)
+        store, top = fs.FileSystem.from_uri(begins)
         known: dict[int, np.ndarray] = {}
         held: dict[int, tuple[list, list]] = {}
         size = 0
@@ -129,7 +129,7 @@ def _fragments(begins: str, order: Permutation, length: int, slots: int):
         def begin_of(part: int, at: int) -> int:
             if part not in known:
                 known.clear()  # rows come part by part
-                found = dataset.dataset(f"{top}/part={part}", filesystem=where, format="parquet").to_table(columns=["at", "begin"])
+                found = dataset.dataset(f"{top}/part={part}", filesystem=store, format="parquet").to_table(columns=["at", "begin"])
                 own = np.empty(len(found), np.int64)
                 own[found.column("at").to_numpy()] = found.column("begin").to_numpy()
                 known[part] = own

@@ -317,6 +317,14 @@ def test_shards_follow_the_rows_and_not_their_splits(make, odd, tmp_path, monkey
         shards.materialise(make(odd, partitions=n), str(tmp_path / "out"), length=16, slots=512)
         written.append([s.tolist() for s in shards.read(f"file://{tmp_path / 'out'}")])
     assert written[0] == written[1] and len(written[0]) > 100
+    docs = make(odd, partitions=6)
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)  # one task reads all parts
+    try:
+        shards.materialise(docs, str(tmp_path / "out"), length=16, slots=512)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert [s.tolist() for s in shards.read(f"file://{tmp_path / 'out'}")] == written[0]
     # a smaller corpus in the same folder leaves nothing of the larger one to read
     shards.materialise(make(odd[:3]), str(tmp_path / "out"), length=16, slots=512)
     assert len(list(shards.read(f"file://{tmp_path / 'out'}"))) < 5
