@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Source by archive and path.  Lines that are findings end in a comment with the rule's category.
@@ -118,6 +119,32 @@ def zipped(files: Mapping[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+#: What the archives made of pages hold, by page_id modulo their number; None is no archive at all.
+KINDS: tuple[dict[str, str] | None, ...] = (
+    PROJECTS["models"], PROJECTS["negatives"], PROJECTS["broken"], PROJECTS["vendored"], {"../up.py": "x = 1\n"}, None, {"a.py": "x = 1\n", "A.py": "y = 2\n"},
+)
+#: Source files begin with so many blank lines at most, by page_id; and the name of the page's own text in the archive.
+SHIFTS, NOTE = 5, "notes/page.txt"
+
+
+def archives_from(pages: DataFrame) -> DataFrame:
+    """(archive_id, content): an archive for each page (page_id, html), whose kind and blank lines follow from page_id, with the page's text."""
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for page_id, html in zip(frame.page_id, frame.html):
+                files, out = KINDS[page_id % len(KINDS)], io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for name, source in (files or {}).items():
+                        z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source)
+                    z.writestr(zipfile.ZipInfo(NOTE, (2020, 1, 1, 0, 0, 0)), html or "", zipfile.ZIP_STORED)
+                rows.append((f"p{page_id}", out.getvalue() if files is not None else b"plain text"))
+            yield pd.DataFrame(rows, columns=["archive_id", "content"])
+
+    return pages.select("page_id", "html").mapInPandas(made, "archive_id string, content binary")
+
+
 def archives(spark: SparkSession) -> DataFrame:
     """(archive_id, content) of the projects, and of two archives that are rejected."""
     rows = [(name, zipped(files)) for name, files in PROJECTS.items()]
