@@ -12,7 +12,9 @@ from ..operators.symbols import LIBRARY
 from .retrieval import LABELS
 
 #: The forms of ids and digests.
-QUESTION_ID, FAMILY, FIXTURE_ID = r"\A(dev|locked)-[a-z0-9]+(-[a-z0-9]+)*\z", r"\A[a-z0-9]+(-[a-z0-9]+)*\z", r"\Aday1[56]-[a-z0-9]+(-[a-z0-9]+)*\z"
+QUESTION_ID, FAMILY, FIXTURE_ID = r"\A(dev|locked)-[a-z0-9]+(-[a-z0-9]+)*\z", r"\A[a-z][a-z0-9_]{2,63}\z", r"\Aday1[56]-[a-z0-9]+(-[a-z0-9]+)*\z"
+#: Fixed value: the folder of the fixtures.
+FIXTURES = "data/evaluation/detection/fixtures"
 SHA256, COMMIT, CHUNK_ID = r"\A[0-9a-f]{64}\z", r"\A[0-9a-f]{40}\z", r"\Asha256:[0-9a-f]{64}\z"
 
 
@@ -31,11 +33,11 @@ def questions(df: DataFrame) -> DataFrame:
     )
 
 
-def fixtures(df: DataFrame) -> DataFrame:
-    """Fixtures: an id of its form, one to four Python files under the fixture, sorted and different."""
+def fixtures(df: DataFrame, root: str = FIXTURES) -> DataFrame:
+    """Fixtures: an id of its form, a folder right under root, one to four Python files under the fixture, sorted and different."""
     files = F.col("python_files")
     return conditions(
-        df, fixture_id=F.col("fixture_id").rlike(FIXTURE_ID), relative_directory=stays_under(F.col("relative_directory")), count=F.size(files).between(1, 4),
+        df, fixture_id=F.col("fixture_id").rlike(FIXTURE_ID), relative_directory=stays_under(F.col("relative_directory")) & (F.regexp_replace("relative_directory", "/[^/]+$", "") == root), count=F.size(files).between(1, 4),
         order=files == F.array_sort(F.array_distinct(files)), python=F.forall(files, lambda f: stays_under(f) & is_python(f)),
     )
 

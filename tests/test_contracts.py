@@ -10,17 +10,17 @@ def violations(df):
 
 def test_questions(spark):
     schema = "schema_version int, question_id string, split string, rule_category string, old_api string, ast_context string, user_question string, gold_heading_path array<string>, template_family string"
-    good = (1, "dev-config-1", "dev", "config", "Config", "", "How?", ["A", "B"], "plain-words")
+    good = (1, "dev-config-1", "dev", "config", "Config", "", "How?", ["A", "B"], "plain_words")
     bad = (1, "locked-x", "dev", "other", " ", None, "\u00a0", ["A", " "], "Upper")
     rows = spark.createDataFrame([good, bad, (2, "dev_x", "locked_candidate", "config", "a", "", "b", [], "a")], schema).coalesce(1)
     assert violations(contracts.questions(rows)) == [
-        [], ["template_family", "split", "rule_category", "old_api", "user_question", "ast_context", "gold_heading_path"], ["schema_version", "question_id", "split", "gold_heading_path"],
+        [], ["template_family", "split", "rule_category", "old_api", "user_question", "ast_context", "gold_heading_path"], ["schema_version", "question_id", "template_family", "split", "gold_heading_path"],
     ]
 
 
 def test_fixtures_and_labels(spark):
-    f = spark.createDataFrame([("day15-a", "x/a", ["a.py", "b.py"]), ("day17-a", "../a", ["b.py", "a.py"]), ("day16-a-b", "x", ["a.txt"]), ("day15-b", "x", [])], "fixture_id string, relative_directory string, python_files array<string>").coalesce(1)
-    assert violations(contracts.fixtures(f)) == [[], ["fixture_id", "relative_directory", "order"], ["python"], ["count"]]
+    f = spark.createDataFrame([("day15-a", "x/a", ["a.py", "b.py"]), ("day17-a", "../a", ["b.py", "a.py"]), ("day16-a-b", "x/b", ["a.txt"]), ("day15-b", "x/c", []), ("day15-c", "x/d/e", ["a.py"])], "fixture_id string, relative_directory string, python_files array<string>").coalesce(1)
+    assert violations(contracts.fixtures(f, "x")) == [[], ["fixture_id", "relative_directory", "order"], ["python"], ["count"], ["relative_directory"]]
     schema = "fixture_id string, file string, rule_id string, rule_category string, start_line int, expected boolean, severity string, gold_heading array<string>"
     rows = [("day15-a", "a.py", "pydantic_v1_config", "config", 1, True, "high", ["A"]), ("day15-a", "/a.py", "pydantic_v1_field", "config", 0, None, "low", [" A"])]
     assert violations(contracts.labels(spark.createDataFrame(rows, schema).coalesce(1))) == [[], ["file", "start_line", "expected", "rule_id", "severity", "gold_heading"]]
