@@ -99,7 +99,8 @@ def five_words(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))}
 
 
-def test_resembling_equals_brute_force(make, odd, monkeypatch):
+@pytest.mark.parametrize("direct", [1, resembling.DIRECT])
+def test_resembling_equals_brute_force(make, odd, monkeypatch, direct):
     monkeypatch.setattr(resembling, "MANY", 3)  # a small table has shingles to put off, too
     rng = random.Random(6)
     rows, chorus = list(odd), rng.choices(WORDS, k=30)
@@ -117,12 +118,48 @@ def test_resembling_equals_brute_force(make, odd, monkeypatch):
     own, least = roots(len(rows), pairs), defaultdict(list)
     for (i, *_), r in zip(rows, own):
         least[r] += [i] if i is not None else []
-    kept = resembling.deduplicated(make(rows, clash=True)).collect()
+    kept = resembling.deduplicated(make(rows, clash=True), direct=direct).collect()
     assert len(far) > 10 and len(kept) == len(set(own)) < len(rows) - 10
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({min(v) for v in least.values() if v})
     assert resembling.deduplicated(make([])).count() == 0
 
 
+def test_differences_from_a_hub_lose_no_pair_and_make_few(spark, make, monkeypatch):
+    monkeypatch.setattr(resembling, "SERVED", 20)
+    rng = random.Random(8)
+    common = rng.choices(WORDS, k=120)
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"changed{rng.randrange(400)}"
+        return w[: len(w) - rng.randrange(9)]
+
+    texts = [edited(common, rng.randrange(1, 16)) for _ in range(120)]
+    for n in (5, 7, 9, 14):  # families away from the common text, alike among themselves
+        family = edited(common, n)
+        texts += [edited(family, rng.randrange(3)) for _ in range(8)]
+    docs = make([(i, " ".join(w), "en", "s") for i, w in enumerate(texts)]).select("doc_id", simhash.text_hash(F.col("text")).alias("tie"), "text")
+    sets = {}
+    for w in texts:
+        x = resembling.shingles(" ".join(w))
+        sets[resembling._node(x)] = set(x.tolist())
+    nodes = docs.mapInArrow(resembling._sets, "doc_id long, tie long, node long, n int, f0 long, f1 long, f2 long, f3 long")
+    nodes = nodes.withColumnRenamed("doc_id", "doc").withColumnRenamed("tie", "doc_tie").dropDuplicates(["node"])
+    names = sorted(sets)
+    for hub in (names[0], resembling._node(resembling.shingles(" ".join(texts[-1])))):
+        parts = spark.createDataFrame([(1, x, hub if i < 2 else x) for i, x in enumerate([hub, *(x for x in names if x != hub)])], "key long, node long, root long")
+        linked, pairs = resembling._by_hubs(resembling._differences(parts, docs, nodes, 1), nodes, resembling.LEAST)
+        linked, pairs = {frozenset(r) for r in linked.collect()}, {frozenset(r) for r in pairs.collect()}
+        alike = {frozenset((a, b)) for i, a in enumerate(names) for b in names[:i] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        by_hub = {x for pair in linked for x in pair}
+        one_root = frozenset(r.node for r in parts.collect() if r.root == hub)
+        assert linked == {pair for pair in alike if hub in pair}
+        lost = [pair for pair in alike - linked - pairs if not pair <= by_hub and pair != one_root]
+        assert not lost and len(pairs & alike) > 20
+        assert len(pairs) < len(names) * (len(names) - 1) // 2 // 5
+
+
 # -- fingerprints ---------------------------------------------------------------------------------------------------------------------------
 
 
