@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import if_small
+from ..functions.tables import BROADCAST_ROWS, is_small
 from ..functions.vectors import dot
 from .bm25 import DIGITS, MAX_TOP_K, check_parameters
 
+#: Parts of the points that blocks of queries meet where queries are too many to broadcast.
+PARTS = 64
 
-def search(points: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K) -> DataFrame:
+
+def search(points: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K, most: int = BROADCAST_ROWS) -> DataFrame:
     """(query_id, rank, doc_id, score): the top_k points of each query; ties by doc_id.
 
     points has doc_id and embedding, queries query_id and embedding.  Exact search compares every query with every point;
-    the queries, a small set, go to the points, and each task keeps top_k of a query before the shuffle.
+    the queries, most at most, go to the points, and each task keeps top_k of a query before the shuffle.  More queries are dealt
+    into blocks of about most, and each block meets each of PARTS parts of the points under a key of its own.
     """
     check_parameters(top_k)
-    asked = if_small(queries.select("query_id", F.col("embedding").alias("asked")))
-    scored = points.join(asked, F.size("embedding") == F.size("asked")).select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("asked")), DIGITS).alias("score"))
+    asked = queries.select("query_id", F.col("embedding").alias("asked"))
+    told = points.select("doc_id", "embedding")
+    same = F.size("embedding") == F.size("asked")
+    if is_small(asked, most):
+        met = told.join(F.broadcast(asked), same)
+    else:
+        blocks = -(-asked.count() // most)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        told = told.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = told.join(asked.withColumn("block", F.col("block").cast("int")), ["block", "part"]).where(same)
+    scored = met.select("query_id", "doc_id", F.round(dot(F.col("embedding"), F.col("asked")), DIGITS).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)
     return top.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")

@@ -72,6 +72,13 @@ def test_dense_ties_by_id(spark):
     assert [(r.doc_id, r.score) for r in dense.search(points, queries, 2).orderBy("rank").collect()] == [(1, 1.0), (3, 1.0)]
 
 
+def test_dense_search_in_blocks_of_queries(spark):
+    points = spark.createDataFrame([(i, [float(i % 7 == k) for k in range(7)]) for i in range(40)] + [(99, [1.0])], "doc_id long, embedding array<double>")
+    queries = points.withColumnRenamed("doc_id", "query_id")
+    want = sorted(map(tuple, dense.search(points, queries, 3).collect()))
+    assert sorted(map(tuple, dense.search(points, queries, 3, most=9).collect())) == want and len(want) == 121
+
+
 def ranking(spark, ids, scores=None, text="t"):
     rows = [(0, i + 1, d, 1.0 - i / 10, text) for i, d in enumerate(ids)]
     return spark.createDataFrame(rows, "query_id long, rank long, doc_id string, score double, text string")
