@@ -100,6 +100,24 @@ def test_index_is_ready_only_when_verified(spark, tmp_path):
     assert status.get("other") is None
 
 
+def test_points_of_an_artifact_carry_their_provenance_and_one_model(spark, tmp_path):
+    known = {"heading_path": ["H"], "overlap_chars": 0, "continuation_index": 0, "identity_occurrence": 0, "source_start_char": 2, "source_end_char": 9}
+    chunk = {c: known.get(c, f"{c} x") for c in index.PROVENANCE}
+    (tmp_path / "chunks.json").write_text(json.dumps({"schema_version": 1, "source_id": "source_id x", "chunks": [chunk]}))
+    found = readers.chunk_artifact(spark, str(tmp_path / "chunks.json"))[1]
+    vectors = df(spark, [("chunk_id x", [0.6, 0.8]), ("other", [1.0, 0.0])], "chunk_id string, vector array<double>")
+    points = index.artifact_points(found, vectors, "m", "r")
+    (row,) = points.collect()
+    assert {c: row[c] for c in index.PROVENANCE} == chunk and (row.embedding_model, row.embedding_revision, row.vector) == ("m", "r", [0.6, 0.8])
+    assert len(points.columns) == 19 and len(row.point_id) == 36
+    table = writers.Versioned(spark, str(tmp_path / "points"))
+    status = writers.KeyValue(spark, str(tmp_path / "kv"), {index.STATUS: index.NOT_BUILT})
+    with pytest.raises(ValueError, match="another model"):
+        index.build(table, status, points, "source_id x", 2, ("m", "other"))
+    assert status.get(index.STATUS) == index.NOT_BUILT
+    assert index.build(table, status, points, "source_id x", 2, ("m", "r")) == 1 and status.get(index.STATUS) == index.READY
+
+
 def test_strict_json(spark, tmp_path):
     (tmp_path / "q.json").write_text(json.dumps({"schema_version": 1, "split": "dev", "gold_source": "g", "questions": [{"question_id": "a", "gold_heading_path": ["H"], "schema_version": 1}]}))
     row = readers.questions(spark, str(tmp_path / "q.json")).first()
