@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import documents
-from . import fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
+from . import bytecodec, fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.cleaned(documents(spark, sf_dir).select("doc_id", "text", "source")).drop("source")
 
 
+def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all documents by the ranks of the multilingual vocabulary and decodes them again."""
+    return bytecodec.round_trip(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shards": op8_shards,
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
+    "op11_bytebpe": op11_bytebpe,
 }
 
 #: The others can't be told in SQL: they need hashes, models or tokenizers.  Tests hold each against a brute-force version.
