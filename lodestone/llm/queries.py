@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import documents
-from . import bytecodec, fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
+from ..sources.tables import documents, read
+from . import bytecodec, conversations, divergence, fingerprints, langid, lines, mixing, packing, quality, secrets, shards, simhash, tokens
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,16 @@ def op11_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecodec.round_trip(documents(spark, sf_dir))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations and reports what is wrong with them and how they are repaired at the least cost."""
+    return conversations.report(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source of all documents diverges in its words from the other sources of its language, and from the language."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
@@ -77,7 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_lines": op10_lines,
     "op11_bytebpe": op11_bytebpe,
+    "op12_conversations": op12_conversations,
+    "op13_divergence": op13_divergence,
 }
 
 #: The others can't be told in SQL: they need hashes, models or tokenizers.  Tests hold each against a brute-force version.
-SQL: dict[str, str] = {"op10_lines": lines.SQL}
+SQL: dict[str, str] = {"op10_lines": lines.SQL, "op13_divergence": divergence.SQL}

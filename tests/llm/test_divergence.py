@@ -1,0 +1,118 @@
+"""Divergence of sources against a version of plain loops and whole numbers."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lodestone.llm import divergence
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def brute(rows, documents=3, top=200):
+    lower = {c: c + 32 for c in range(65, 91)}
+    docs = [(lang or "", source or "", TERM.findall((text or "").translate(lower))) for _, text, lang, source in rows]
+    having, groups, whole = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+    for lang, source, terms in docs:
+        having[lang].update(set(terms))
+        groups[lang, source].update(terms)
+        whole[lang].update(terms)
+    out = set()
+    for lang in whole:
+        kept = [t for t, n in having[lang].items() if n >= documents]
+        sources = [s for x, s in groups if x == lang]
+
+        def shares(found):
+            total = sum(found[t] for t in kept) + len(kept)
+            return {t: 1 + 1_000_000_000 * (found[t] + 1) // total for t in kept}
+
+        p, q = {s: shares(groups[lang, s]) for s in sources}, shares(whole[lang])
+        f = lambda a, b: (a - b) ** 2 // b
+        for s in sources:
+            pairs = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in sources if o != s]
+            terms = [(t, f(p[s][t], q[t])) for t in kept if groups[lang, s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out |= {(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(ranked)}
+    return out
+
+
+def got(df):
+    rows = [tuple(r) for r in df.select("lang", "source", "part", "item", "value", "rank").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in "the of été ß日 Mixed QU- x'y zeta".split() for b in "abcdefghijkl"]
+    out = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40))), rng.choice(["en", "de", None]), f"s{min(int(rng.expovariate(0.2)), 20)}") for i in range(400)]
+    out += [(900, None, "en", "none"), (901, "", "en", None), (902, "alone", "xx", "only"), (903, "1 2 3", "yy", "a"), (904, "!", "yy", "b"), (905, "words here", "yy", "c")]
+    return out + [(906, "dup dup Dup", "zz", "a")] * 4 + [(907, "dup", "zz", "b")]
+
+
+def test_audit_is_as_by_brute_force(make, rows):
+    want = brute(rows)
+    assert got(divergence.audit(make(rows, clash=True))) == want
+    assert {r for r in want if r[0] == "yy"} == {("yy", a, "pair", b, 0, i) for a, o in (("a", "bc"), ("b", "ac"), ("c", "ab")) for i, b in enumerate(o, 1)}
+    assert not any(r[0] == "xx" for r in want)
+
+
+def test_blocks_bins_and_jobs_change_nothing(make, rows):
+    want = brute(rows, top=5)
+    assert got(divergence.audit(make(rows), top=5, block=10, bin_size=2, rounds=3)) == want
+    assert got(divergence.audit(make(rows), top=5, block=7, bin_size=1, rounds=100)) == want
+
+
+def test_odd_rows_and_empty_table(make, odd):
+    assert got(divergence.audit(make(odd, clash=True))) == brute(odd)
+    assert got(divergence.audit(make(odd), documents=1)) == brute(odd, documents=1)
+    assert divergence.audit(make([])).count() == 0
+
+
+def test_each_pair_of_bins_meets_once(spark):
+    from pyspark.sql import functions as F
+
+    for n in (2, 4, 6, 12, 30):
+        rows = spark.range(n).crossJoin(spark.range(n - 1).withColumnRenamed("id", "r")).select(F.col("id").cast("int").alias("i"), F.col("r").cast("int").alias("r"))
+        met = [(r.i, r.o, r.r) for r in rows.withColumn("o", divergence.opponent(F.col("i"), F.col("r"), F.lit(n))).collect()]
+        assert len({(i, o) for i, o, _ in met}) == n * (n - 1) and all(i != o for i, o, _ in met)
+        assert {(o, i, r) for i, o, r in met} == set(met)
+
+
+def test_shares_are_exact():
+    rng = random.Random(1)
+    for _ in range(500):
+        total = rng.randint(1, 8 * 10**15)
+        count = rng.randint(0, total - 1)
+        assert divergence.share(np.array([count]), total)[0] == 1 + 1_000_000_000 * (count + 1) // total
+
+
+def test_vectors_stay_where_they_are(spark, make, rows, monkeypatch):
+    """Only visitors are dealt out in a round: the side that stays is read from the kept partitions."""
+    import io
+    from contextlib import redirect_stdout
+
+    plans = []
+    stage = divergence.stage
+
+    def seen(df, label):
+        if label == "met":
+            out = io.StringIO()
+            with redirect_stdout(out):
+                df.explain()
+            plans.append(out.getvalue())
+        return stage(df, label)
+
+    monkeypatch.setattr(divergence, "stage", seen)
+    divergence.audit(make(rows), bin_size=2, rounds=1)
+    assert len(plans) > 3
+    for plan in plans[1:]:
+        above = plan.split("InMemoryRelation")[0]
+        assert "CoGroup" in above and "InMemoryTableScan" in above
+        home = above.split("InMemoryTableScan")[0].rsplit("CoGroup", 1)[1]
+        assert "Exchange" not in home, plan
