@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .sweeps import before, highest, last, ranged, running, total
+
 
 def missing_from(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The different keys of left that right lacks (stale ids, unknown headings); nulls match nulls."""
@@ -37,13 +40,14 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def occurrence(df: DataFrame, identity: Sequence[str], order: Sequence[str], name: str = "identity_occurrence") -> DataFrame:
     """df with the number of earlier rows of the same identity."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*identity).orderBy(*order)) - 1).cast("long"))
+    return before(df, identity, order, **{name: total(1)}).withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
 def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: str, budget: int) -> DataFrame:
     """df with the running total of amount in its group, and whether the budget still holds."""
-    upto = F.sum(amount).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running_total", upto).withColumn("within_budget", F.col("running_total") <= budget)
+    upto = F.coalesce(F.col("running_total") + F.col(amount), F.col("running_total"), F.col(amount))
+    out = before(df, group, order, running_total=total(F.col(amount))).withColumn("running_total", upto)
+    return out.withColumn("within_budget", F.col("running_total") <= budget)
 
 
 def first_violation(checked: DataFrame, group: Sequence[str], order: Sequence[str], error: str = "error_type") -> DataFrame:
@@ -53,8 +57,8 @@ def first_violation(checked: DataFrame, group: Sequence[str], order: Sequence[st
 
 def not_increasing(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The rows whose value isn't above the one before."""
-    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("__before", before).where(F.col(value) <= F.col("__before")).drop("__before")
+    # a struct is there even where its value is null, so it is the row before that counts
+    return before(df, group, order, __before=last(F.struct(F.col(value).alias("v")))).where(F.col(value) <= F.col("__before.v")).drop("__before")
 
 
 def require_empty(df: DataFrame, message: str) -> None:
@@ -85,19 +89,25 @@ def mit_licence(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def covered(inner: DataFrame, outer: DataFrame, group: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """The rows of inner whose span lies in one span of outer."""
-    o = outer.select(*group, F.col(start).alias("__start"), F.col(end).alias("__end"))
-    same = [F.col(f"i.{k}") == F.col(f"o.{k}") for k in group]
-    inside = (F.col(f"o.__start") <= F.col(f"i.{start}")) & (F.col("o.__end") >= F.col(f"i.{end}"))
-    for c in same:
-        inside &= c
-    return inner.alias("i").join(o.alias("o"), inside, "left_semi")
+    """The rows of inner whose span lies in one span of outer.
+
+    Both are swept together by their starts: a span lies in another if the spans that begin before or with it reach its end.  Rows
+    with a null in the group or the span lie in none.
+    """
+    known = " and ".join(f"`{c}` is not null" for c in [*group, start, end])
+    a = outer.where(known).select(*group, F.col(start).alias("__start"), F.lit(0).alias("__side"), F.col(end).alias("__end"))
+    b = inner.where(known).select(*group, F.col(start).alias("__start"), F.lit(1).alias("__side"), F.struct(*inner.columns).alias("__inner"))
+    swept = before(a.unionByName(b, allowMissingColumns=True), group, ["__start", "__side"], __reach=highest(F.col("__end")))
+    return swept.where((F.col("__side") == 1) & (F.col("__reach") >= F.col(f"__inner.{end}"))).select("__inner.*")
 
 
 def merged_spans(df: DataFrame, group: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(group, start, end): the spans of each group, those that meet or overlap as one."""
-    order = Window.partitionBy(*group).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*group, start, end).withColumn("__new", (reach.isNull() | (F.col(start) > reach)).cast("int"))
-    numbered = marked.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """(group, start, end): the spans of each group, those that meet or overlap as one.
+
+    Ranges of spans are merged by themselves; what reaches from one into the next is told by one row a range.
+    """
+    reached = running(ranged(df.select(*group, start, end), group, [start, end]), group, __reach=highest(F.col(end)))
+    new = (F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))).cast("int")
+    marked = stage(reached.withColumn("__new", new).drop("__reach"), "spans")
+    numbered = running(marked, group, __run=total(F.col("__new"))).withColumn("__run", F.coalesce("__run", F.lit(0)) + F.col("__new"))
     return numbered.groupBy(*group, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")

@@ -75,7 +75,7 @@ def findings(facts: DataFrame) -> DataFrame:
     uses = uses.withColumn("use_id", F.xxhash64("rule", "api", *PLACE, "at_line", "at_column", "reference")).dropDuplicates(use)
     uses = uses.withColumn("name", F.element_at(F.split("reference", r"\."), 1))
 
-    seen = visible(uses, events, use, [*FILE, "name"], ["name", "info"]).where("n = 1 and info is not null").select(*use, col("name").alias("local"), "info")
+    seen = visible(uses, events, use, [*FILE, "name"], ["name", "info"], split=False).where("n = 1 and info is not null").select(*use, col("name").alias("local"), "info")
     # five rules read these
     proven = stage(uses.join(seen, use).withColumn("full", canonical(col("info")["kind"], col("info")["module"], col("info")["imported"], col("info")["level"], col("info")["alias"], col("local"), col("reference"))), "proven")
     symbol = F.element_at(F.split("full", r"\."), -1)
@@ -136,7 +136,7 @@ def _method_findings(facts: DataFrame, uses: DataFrame, proven: DataFrame, class
     calls = uses.where(col("rule").isin("base_model_method", "data_loading"))
     simple = calls.where(prop("simple") == "true")
     events = facts.where("kind = 'binding'")
-    seen = visible(simple, events, use, [*FILE, "name"], ["name"])
+    seen = visible(simple, events, use, [*FILE, "name"], ["name"], split=False)
     receivers = seen.where("n = 1").join(proofs, at).select(*use, "proof")
     local = calls.join(receivers, use)
     how = F.when(prop("called") == "true", "inline_constructor_call").otherwise(col("proof.receiver_evidence"))
