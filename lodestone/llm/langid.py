@@ -25,11 +25,9 @@ HIDDEN, WINDOW, BATCH = 12, 128, 2_048
 SAMPLE, CUTS = 1_500, 4
 STEPS, STEP_WINDOWS, RATE, SEED = 450, 192, 0.02, 7
 UNKNOWN = "und"
-#: The label of what is in none of the languages learned, for networks that are to reject; it never is a prediction.
-OTHER = ""
-#: accepted() rejects a text if its share of OTHER leaves less than LEAST to all languages, or less than what all but a share of
-#: STRAY of the windows that were learned from have.  Texts of fewer bytes than SHORT say too little to be rejected.
-LEAST, STRAY, SHORT = 0.5, 0.001, 64
+#: accepted() rejects a text if what its bytes leave to all languages, with BELIEF bytes more that are held to be in one, is a share below
+#: LEAST, or below what all but a share of STRAY of the windows that were learned from have.
+LEAST, STRAY, BELIEF = 0.5, 0.001, 32
 
 
 @dataclass
@@ -38,19 +36,26 @@ class Network:
 
     labels: list[str]
     weights: dict[str, np.ndarray]
-    #: What accepted() asks for, of a network with the label OTHER.
+    #: Whether there is a class more, the last, of what is in none of the languages; it has no label, as any string may be a language's.
+    other: bool = False
+    #: What accepted() asks for, of a network with that class.
     least: float = LEAST
 
+    @property
+    def classes(self) -> int:
+        return len(self.labels) + self.other
+
     @classmethod
-    def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = SEED) -> Network:
+    def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = SEED, other: bool = False) -> Network:
         rng, w = np.random.default_rng(seed), {}
+        classes = len(labels) + other
         for d in "fb":
             w[f"{d}_x"] = rng.normal(0, 0.3, (3 * hidden, 256))
             w[f"{d}_u"] = rng.normal(0, hidden**-0.5, (3 * hidden, hidden))
             w[f"{d}_c"] = np.zeros((hidden, 1))
-        w["out"] = rng.normal(0, 0.3, (len(labels), 2 * hidden))
-        w["bias"] = np.zeros((len(labels), 1))
-        return cls(labels, {k: v.astype(np.float32) for k, v in w.items()})
+        w["out"] = rng.normal(0, 0.3, (classes, 2 * hidden))
+        w["bias"] = np.zeros((classes, 1))
+        return cls(labels, {k: v.astype(np.float32) for k, v in w.items()}, other)
 
     def _states(self, d: str, data: np.ndarray, valid: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The states (time, unit, window) of direction d over data (time, window); keep gets what a step back needs."""
@@ -106,10 +111,10 @@ class Network:
     def train(self, windows: list[tuple[bytes, int]], steps: int = STEPS, size: int = STEP_WINDOWS, rate: float = RATE, seed: int = SEED) -> Network:
         """Fits the weights to windows with their labels' numbers, each label drawn as often, by Adam."""
         rng = np.random.default_rng(seed)
-        of = [np.flatnonzero([label == k for _, label in windows]) for k in range(len(self.labels))]
+        of = [np.flatnonzero([label == k for _, label in windows]) for k in range(self.classes)]
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            label = rng.integers(len(self.labels), size=size)
+            label = rng.integers(self.classes, size=size)
             data, valid = batch([windows[rng.choice(of[k])][0] for k in label])
             _, grads = self.gradients(data, valid, label)
             norm = max(1.0, float(np.sqrt(sum((g * g).sum() for g in grads.values()))))
@@ -136,7 +141,7 @@ class Labeller:
     """A trained network for many windows: both directions at once, in place, with the sigmoids' halves folded into the weights."""
 
     def __init__(self, net: Network) -> None:
-        w, self.labels = net.weights, net.labels
+        w, self.labels, self.other, self.classes = net.weights, net.labels, net.other, net.classes
         self.hidden = h = w["f_u"].shape[1]
         scale = np.repeat(np.float32([0.5, 0.5, 1.0]), h)[:, None]
         self.x = [np.ascontiguousarray(w[f"{d}_x"] * scale) for d in "fb"]
@@ -187,7 +192,7 @@ class Labeller:
 
     def pooled(self, texts: list[bytes], window: int = WINDOW, size: int = BATCH) -> np.ndarray:
         """(text, label): each text's probabilities, the mean over its bytes; no byte: zeros."""
-        total, n = np.zeros((len(texts), len(self.labels))), np.array([max(len(t), 1) for t in texts])
+        total, n = np.zeros((len(texts), self.classes)), np.array([max(len(t), 1) for t in texts])
         owner, full, tails, tail_owner = [], [], [], []
         for k, t in enumerate(texts):
             if whole := len(t) // window:
@@ -253,7 +258,7 @@ def strangers(windows: list[bytes], seed: int = SEED) -> list[bytes]:
 def fit(docs: DataFrame, hidden: int = HIDDEN, other: bool = False, **size: int) -> Network | None:
     """A network that is trained on a sample of docs; None without any labelled text.
 
-    With other it also has the label OTHER, learned from strangers() of the same sample, and the least share for accepted().
+    With other it also has the class of no language, learned from strangers() of the same sample, and the least share for accepted().
     """
     found = sample(docs, **size)
     labels = sorted({lang for lang, _ in found})
@@ -264,7 +269,7 @@ def fit(docs: DataFrame, hidden: int = HIDDEN, other: bool = False, **size: int)
     if not other:
         return Network.new(labels, hidden).train(windows)
     strange = [(w, len(labels)) for w in strangers([w for _, w in found])]
-    net = Network.new([*labels, OTHER], hidden).train(windows + strange)
+    net = Network.new(labels, hidden, other=True).train(windows + strange)
     own = 1 - net.prepared().pooled([w for w, _ in windows])[:, -1]
     net.least = min(LEAST, float(np.quantile(own, STRAY)))
     return net
@@ -276,22 +281,28 @@ def _read(text: str) -> bytes:
 
 
 def _labelled(labeller: Labeller | None, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-    """The label and score of each text, and the share of its probabilities that languages have; OTHER is left out of labels and scores."""
+    """The label and score of each text, and the share of its probabilities that languages have; the class of none is no label."""
     names, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     there = [i for i, t in enumerate(texts) if labeller and t and any(map(str.isalpha, t))]
     for i, p in zip(there, labeller.pooled([_read(texts[i]) for i in there]) if there else ()):
-        other = float(p[-1]) if labeller.labels[-1] == OTHER else 0.0
-        p = p[:-1] if labeller.labels[-1] == OTHER else p
+        other = float(p[-1]) if labeller.other else 0.0
+        p = p[:-1] if labeller.other else p
         k = int(p.argmax())
         names[i], scores[i], shares[i] = labeller.labels[k], min(1.0, float(p[k])), 1.0 - other
     return names, scores, shares
 
 
+def believed(share: float, n: int) -> float:
+    """The languages' share of n bytes, taken with BELIEF bytes that are held to be in one."""
+    return (share * n + BELIEF) / (n + BELIEF)
+
+
 def accepted(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """The rows of docs whose text is in a language that was learned.  Columns as in docs.
 
-    Null texts and texts without a letter go; where nothing could be learned, all go.  So do texts of SHORT bytes or more that the
-    network holds to be in another language or in none: OTHER leaves less to the languages than network.least.  Shorter texts stay.
+    Null texts and texts without a letter go; where nothing could be learned, all go.  So do texts that the network holds to be in
+    another language or in none: the class of none leaves less to the languages than network.least.  The share is taken as if BELIEF
+    bytes more were in a language, so the shorter a text is, the surer the network has to be.
     For the other cases see identify().
     """
     network = network or fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), other=True)
@@ -303,7 +314,7 @@ def accepted(docs: DataFrame, network: Network | None = None) -> DataFrame:
         for texts in batches:
             found = [None if t is None else str(t) for t in texts]
             names, _, shares = _labelled(labeller, found)
-            yield pd.Series([n != UNKNOWN and (x >= network.least or len(t.encode()) < SHORT) for t, n, x in zip(found, names, shares)], dtype="bool")
+            yield pd.Series([n != UNKNOWN and believed(x, len(_read(t))) >= network.least for t, n, x in zip(found, names, shares)], dtype="bool")
 
     return docs.where(known(F.col("text")))
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms, on Spark's own functions only.
 
-Every document has a place on a line: the hash of its id.  A source's budget is met by taking the documents below a
+Every document has a place on a line: the hash of its id and text, and where rows repeat, of which of them it is.  A source's budget is met by taking the documents below a
 threshold on that line.  The threshold comes from histograms, never from a sort: sizes are summed by source and
 hash bucket, the bucket in which the budget runs out is found, and only that bucket is cut again.  Below the thresholds,
 smaller budgets take subsets of what larger ones take; reruns take the same.
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sweeps import before, total
 from .common import n_words, running, stage, within_bound
 
 #: Bits of the hash that each histogram resolves, and the number of histograms.
@@ -47,9 +48,21 @@ def targets(totals: DataFrame, weights: Sequence[int], cap: float, share: float)
     return totals.select("source", "source_size", F.when(full, F.col("most")).otherwise(F.lit(level) * F.col("w")).alias("target"))
 
 
-def _place(doc_id: Column) -> Column:
-    """A document's place on the line."""
-    return F.xxhash64(doc_id, F.lit(SEED))
+def _placed(rows: DataFrame, text: Column) -> DataFrame:
+    """rows (doc_id, source) with __h, each one's place on the line.
+
+    Rows of one source, doc_id and text have places of their own, by their number among them, so a budget can end between them; who
+    has which number is of no matter to what is taken.  No task holds all rows that repeat.
+    """
+    rows = rows.withColumn("__h", F.xxhash64("doc_id", text, F.lit(SEED)))
+    again = rows.groupBy(F.col("source").alias("__source"), F.col("__h").alias("__same")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    again = stage(again, "repeated")
+    if not again.limit(1).count():
+        return rows
+    met = rows.join(within_bound(again), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__h") == F.col("__same")), "left").drop("__source")
+    numbered = before(met.where("__same is not null"), ["source", "__h"], [F.xxhash64(*rows.columns)], __nth=total(1))
+    numbered = numbered.withColumn("__h", F.when(F.col("__nth") > 0, F.xxhash64("__h", "__nth")).otherwise(F.col("__h")))
+    return met.where("__same is null").drop("__same").unionByName(numbered.drop("__same", "__nth"))
 
 
 def thresholds(sized: DataFrame, weights: Sequence[int], cap: float, share: float) -> DataFrame:
@@ -95,7 +108,9 @@ def _copies(place: Column) -> Column:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _place(F.col("doc_id")).alias("h")), "sized")
+    rows = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("told")), "sized")
+    placed = _placed(rows, F.col("told")).withColumnRenamed("__h", "h").drop("told")
+    return stage(placed, "placed")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -104,7 +119,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, s
     docs needs doc_id, text and source; other columns are ignored.  size counts words (null text: 0).  A document is
     taken copies times: as often as the target holds its whole source, plus once more below the source's threshold.
     One document more is taken where that brings the source nearer to its target.
-    Null sources are one source, the last.  Null doc_ids and repeated rows share a hash and so a fate.  A source without
+    Null sources are one source, the last.  Of rows that repeat each may be taken or not.  A source without
     words has target 0 and copies 0.  An empty table gives no rows.
     """
     sized = _sized(docs)
@@ -116,9 +131,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, s
 def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
     """docs as the mix takes them: rows not taken go, rows taken more than once repeat.  Columns as in docs.
 
-    Sources are few, so their thresholds go to the documents; texts aren't shuffled.  For the cases see mix().
+    Sources are few, so their thresholds go to the documents; texts aren't shuffled, but for those of rows that repeat.  For the
+    cases see mix().
     """
     edge = within_bound(thresholds(_sized(docs), weights, cap, share))
-    out = docs.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")))
-    taken = out.select("d.*", _copies(_place(F.col("d.doc_id"))).cast("int").alias("__copies")).where("__copies > 0")
-    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copies", "__copy")
+    placed = _placed(docs, F.xxhash64("text"))
+    out = placed.alias("d").join(edge.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")))
+    taken = out.select("d.*", _copies(F.col("__h")).cast("int").alias("__copies")).where("__copies > 0")
+    return taken.select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(docs.columns)

@@ -2,8 +2,8 @@
 
 Documents and the gaps of open sequences are both sorted by size into ranges.  A round sweeps the ranges in parallel: each
 document asks for its successor among the gaps, the smallest that holds it; where several ask for one gap they are served by
-rank, larger ones first; documents without a successor in their range meet the gaps that other ranges have left.  Then gaps
-are updated and the next round begins.
+rank, larger ones first; what a document leaves of a gap is a gap for the smaller ones of the sweep.  Documents without a successor in
+their range meet the gaps that other ranges have left.  Then the updated gaps go to their ranges and the next round begins.
 
 Sizes are whole numbers up to the capacity, so in both lists equal entries stand in runs, and the rows of a sweep are runs: their
 number follows the number of sizes and not the corpus.  Texts are cut and hashed, sizes counted, and every document is ranked within
@@ -13,6 +13,7 @@ its size without gathering a size in one task, and then joined to the run that h
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ CAPACITY, END = 2_048, 0
 PARTS, ROWS = 64, 100_000
 #: Ranges of sizes that are swept in parallel; bands, each but the last from half of its largest size on; ranks in a block.
 RANGES, BANDS, BLOCK = 4, 3, 1 << 16
-#: Rounds of the last band that run in one job; its counts decide about the next.
-ROUNDS = 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -57,45 +56,42 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encoded, PIECES)
 
 
-def swept(docs: Iterable[tuple[int, int, int]], gaps: Iterable[tuple[int, int, int]], capacity: int) -> tuple[list[tuple], list[tuple], list[tuple], list[tuple]]:
-    """One sweep over runs of documents (size, rank, n) and of gaps (size, sequence, n): (placed, documents left, gaps left, updated gaps).
+def swept(docs: Iterable[tuple[int, int, int]], gaps: Iterable[tuple[int, int, int]], capacity: int) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """One sweep over runs of documents (size, rank, n) and of gaps (size, sequence, n): (placed, documents left, gaps left).
 
-    Both lists are walked from the largest size on.  A document's successor is the smallest gap that holds it and that no
-    larger document has taken, which is the one met last: so gaps wait on a stack.  A gap takes as many documents of the size
-    that wins it as it holds.  placed has (size, rank, n, sequence, each, offset): documents rank, rank + 1, ... of that size, each of
-    them to a sequence, the first at offset.
+    Documents are served from the largest on.  A document's successor is the smallest gap that holds it; a gap takes as many
+    documents of the size that wins it as it holds, and what is left of it is a gap again.  placed has (size, rank, n, sequence, each,
+    offset): documents rank, rank + 1, ... of that size, each of them to a sequence, the first at offset.
     """
-    waiting, stack = sorted(gaps), []
-    placed, left, updated = [], [], []
+    free = sorted(gaps)
+    placed, left = [], []
     for size, rank, n in sorted(docs, key=lambda d: (-d[0], d[1])):
-        while waiting and waiting[-1][0] >= size:
-            stack.append(waiting.pop())
-        while n and stack:
-            gap, first, there = stack.pop()
+        while n and (at := bisect_left(free, (size,))) < len(free):
+            gap, first, there = free.pop(at)
             each = gap // size
             taken = min(n, there * each)
             whole, rest = divmod(taken, each)
-            for m, k, at in ((whole, each, 0), (1, rest, whole)):
+            for m, k, skip in ((whole, each, 0), (1, rest, whole)):
                 if m and k:
-                    placed.append((size, rank + at * each, m * k, first + at, k, capacity - gap))
+                    placed.append((size, rank + skip * each, m * k, first + skip, k, capacity - gap))
                     if gap > k * size:
-                        updated.append((gap - k * size, first + at, m))
+                        insort(free, (gap - k * size, first + skip, m))
             used = whole + (rest > 0)
             if used < there:
-                stack.append((gap, first + used, there - used))
+                insort(free, (gap, first + used, there - used))
             rank, n = rank + taken, n - taken
         if n:
             left.append((size, rank, n))
-    return placed, left, stack + waiting, updated
+    return placed, left, free
 
 
 _RUNS = "kind int, size long, at long, n long, sequence long, each long, offset long"
 _NAMES = [x.split()[0] for x in _RUNS.split(", ")]
-_GAP, _DOCUMENT, _PLACED, _UPDATED = range(4)
+_GAP, _DOCUMENT, _PLACED = range(3)
 
 
 def _sweep(capacity: int):
-    """swept() over each partition's rows of _RUNS; what was placed or updated before passes through."""
+    """swept() over each partition's rows of _RUNS; what was placed before passes through."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list[tuple]] = {_GAP: [], _DOCUMENT: []}
@@ -106,29 +102,24 @@ def _sweep(capacity: int):
             some = batch.filter(pa.array(kind < _PLACED))
             for k, *run in zip(*(some.column(c).to_pylist() for c in _NAMES[:4])):
                 rows[k].append(tuple(run))
-        placed, left, gaps, updated = swept(rows[_DOCUMENT], rows[_GAP], capacity)
-        out = [(_PLACED, *x) for x in placed] + [(k, *x, 0, 0, 0) for k, some in ((_DOCUMENT, left), (_GAP, gaps), (_UPDATED, updated)) for x in some]
+        placed, left, gaps = swept(rows[_DOCUMENT], rows[_GAP], capacity)
+        out = [(_PLACED, *x) for x in placed] + [(k, *x, 0, 0, 0) for k, some in ((_DOCUMENT, left), (_GAP, gaps)) for x in some]
         columns = list(zip(*out)) or [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(columns)], names=_NAMES)
 
     return sweep
 
 
-def _round(docs: DataFrame, gaps: DataFrame, capacity: int, times: int = 1) -> tuple[DataFrame, int, int]:
-    """(rows, documents placed, volume left) of so many bulk-synchronous rounds, run as one job.
+def _round(docs: DataFrame, gaps: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
+    """(rows, documents placed, volume left) of one bulk-synchronous round, run as one job.
 
-    In a round each range of sizes is swept by itself, then what is left of all ranges together.  A document that finds its
-    successor in its own range would find the same one over all: gaps of other ranges are either too small or farther off.  What is
-    left is one run a size and gap at most, not documents.
+    Each range of sizes is swept by itself, then what is left of all ranges together: one run a size and gap at most, not documents.
     """
     kind, spread = F.col("kind"), F.pmod(F.xxhash64("size", "at"), F.lit(RANGES))
-    rows = docs.unionByName(gaps)
-    for _ in range(times):
-        rows = rows.withColumn("kind", F.when(kind == _UPDATED, _GAP).otherwise(kind))
-        own = F.when(kind == _PLACED, spread).otherwise(F.expr(f"size * {RANGES} div {capacity + 1}"))
-        rows = rows.repartitionById(RANGES, own.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
-        rest = F.when(kind >= _PLACED, spread).otherwise(0)
-        rows = rows.repartitionById(RANGES, rest.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
+    own = F.when(kind == _PLACED, spread).otherwise(F.expr(f"size * {RANGES} div {capacity + 1}"))
+    rows = docs.unionByName(gaps).repartitionById(RANGES, own.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
+    rest = F.when(kind == _PLACED, spread).otherwise(0)
+    rows = rows.repartitionById(RANGES, rest.cast("int")).mapInArrow(_sweep(capacity), _RUNS)
     seen = Observation()
     volume = F.sum(F.when(kind == _DOCUMENT, F.col("size") * F.col("n")).otherwise(0))
     rows = stage(rows.observe(seen, F.count_if(kind == _PLACED).alias("placed"), F.coalesce(volume, F.lit(0)).alias("volume")), "round")
@@ -157,10 +148,10 @@ def best_fit(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for high, low in zip(bounds, bounds[1:]):
         docs = docs.unionByName(sizes.where((F.col("size") > low) & (F.col("size") <= high)))
         while True:
-            done, some, volume = _round(docs, gaps, capacity, 1 if low else ROUNDS)
+            done, some, volume = _round(docs, gaps, capacity)
             placed = placed.unionByName(done.where(F.col("kind") == _PLACED))
             docs = done.where(F.col("kind") == _DOCUMENT)
-            gaps = done.where(F.col("kind").isin(_GAP, _UPDATED)).withColumn("kind", F.lit(_GAP))
+            gaps = done.where(F.col("kind") == _GAP)
             if not volume:
                 docs = sizes.limit(0)
                 break

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import small_batches, stage
+from .common import small_batches, stage, within_bound
 from .components import components
 
 SEGMENTS, WIDTH = 4, 16
@@ -103,8 +103,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each root in grouped (doc_id, tie, root) the row with the smallest doc_id; tie is the text_hash().
 
-    Among rows of one doc_id and group the text's hash decides; null doc_ids come last.  A repeated row is a copy of
-    itself: one of its rows stays.
+    Among rows of one doc_id and group the text's hash decides; null doc_ids come last.  Of rows of one id and text, which
+    may differ in other columns, the one whose columns have the least hash stays, so each run keeps the same.
     """
     rows = stage(grouped, "groups")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("best")
@@ -112,8 +112,16 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (text_hash(F.col("d.text")) == F.col("k.tie"))
     # most rows stay, so the kept ids grow with the input: both sides are sorted, which spills where memory is short
     out = docs.alias("d").join(kept.alias("k").hint("merge"), same, "left_semi")
-    repeated = rows.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    repeated = stage(rows.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if not repeated.limit(1).count():
+        return out
+    # only rows that repeat are ranked, and one row a task and group is shuffled
+    marked = out.withColumn("__own", F.xxhash64(*docs.columns)).alias("d")
+    again = F.col("d.doc_id").eqNullSafe(F.col("r.__id")) & (text_hash(F.col("d.text")) == F.col("r.__tie"))
+    met = marked.join(within_bound(repeated).alias("r"), again, "left")
+    alone = met.where("__tie is null").select(docs.columns)
+    one = met.where("__tie is not null").groupBy("__id", "__tie").agg(F.min_by(F.struct(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]), "__own").alias("row"))
+    return alone.unionByName(one.select("row.*"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -75,6 +75,29 @@ def test_learns_only_from_rows_that_are_not_held_out(make):
     assert {lang for lang, _ in langid.sample(make(rows))} == set(LANGS)
 
 
+def test_the_empty_label_is_a_language_like_any_other(make):
+    rows = [(i, t, "" if lang == "en" else lang, s) for i, t, lang, s in texts()]
+    net = langid.fit(make(rows))
+    assert net.labels == ["", "de", "fr"] and net.classes == 3
+    got = langid.identify(make(rows), net).collect()
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.97 and "" in {r.lang_pred for r in got}
+
+
+def test_the_empty_label_alone(make):
+    only = [(i, t, "", s) for i, t, lang, s in texts(60)]
+    net = langid.Network.new([""], 4, other=True)
+    assert net.classes == 2
+    assert {(r.lang_pred, 0 < r.score < 1) for r in langid.identify(make(only), net).collect()} == {("", True)}
+    net.least = 0.0
+    assert langid.accepted(make(only), net).count() == len(only)
+
+
+def test_short_texts_need_surer_networks():
+    assert langid.believed(0.0, 0) == 1 and langid.believed(1.0, 50) == 1
+    shares = [langid.believed(0.1, n) for n in (1, 10, 40, 100, 10_000)]
+    assert shares == sorted(shares, reverse=True) and shares[0] > langid.LEAST > shares[3]
+
+
 def test_sample_is_bounded(make):
     assert len(langid.sample(make(texts(600)), documents=20, cuts=2)) < 3 * 20 * 2 * 2
 
