@@ -103,7 +103,7 @@ def checked_members(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
     unsafe = ~col("method").isin(*METHODS) | (col("attributes").bitwiseAND(0x08) != 0)
     unsafe |= ~((mode == 0) | regular | directory) | (regular & (named | dos)) | (directory & ~(named | dos))
     rows = found.withColumn("is_directory", directory | named | dos)
-    rows = running_budget(rows, ["archive_id"], ["ordinal"], "file_size", limits.total_bytes)
+    rows = running_budget(rows, ["archive_id"], ["ordinal"], "file_size", limits.total_bytes, split=False)
     same = Window.partitionBy("archive_id", "collision_key").orderBy("ordinal")
     rows = rows.withColumn("__first", F.first("is_directory").over(same)).withColumn("__nth", F.row_number().over(same))
     error = (

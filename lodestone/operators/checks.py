@@ -43,10 +43,10 @@ def occurrence(df: DataFrame, identity: Sequence[str], order: Sequence[str], nam
     return before(df, identity, order, **{name: total(1)}).withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
-def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: str, budget: int) -> DataFrame:
-    """df with the running total of amount in its group, and whether the budget still holds."""
+def running_budget(df: DataFrame, group: Sequence[str], order: Sequence[str], amount: str, budget: int, split: bool = True) -> DataFrame:
+    """df with the running total of amount in its group, and whether the budget still holds.  For split see sweeps.before()."""
     upto = F.coalesce(F.col("running_total") + F.col(amount), F.col("running_total"), F.col(amount))
-    out = before(df, group, order, running_total=total(F.col(amount))).withColumn("running_total", upto)
+    out = before(df, group, order, split, running_total=total(F.col(amount))).withColumn("running_total", upto)
     return out.withColumn("within_budget", F.col("running_total") <= budget)
 
 

@@ -17,6 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+from .checks import covered, merged_spans
+from .sweeps import before, highest
+
 MIN_CHARS, MAX_CHARS, OVERLAP = 500, 1200, 120
 #: The name of the identity scheme that goes into chunk ids.
 SCHEME = "lodestone-chunk-id-v1"
@@ -182,30 +186,46 @@ def source_blocks(docs: DataFrame) -> DataFrame:
 
 
 def audit(docs: DataFrame, found: DataFrame, low: int = MIN_CHARS, high: int = MAX_CHARS) -> DataFrame:
-    """One row a document: counts and lengths of its chunks, distinct ids and contents, and how they cover the source."""
-    order = Window.partitionBy("doc_id").orderBy("chunk_no")
-    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    good = found.where("error is null").withColumn("__reach", reach)
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", "__reach"))
-    per = good.groupBy("doc_id").agg(
+    """One row a document: counts and lengths of its chunks, ids and contents that are distinct or repeat, how they cover the source,
+    and its fences and blocks with those that chunks hold and cover.
+
+    An oversized code chunk holds a fence that is itself longer than high.  Fences and blocks of a document whose fence is
+    never closed, which has no chunks, don't count.
+    """
+    spans = found.where("error is null")
+    reached = before(spans.select("doc_id", "chunk_no", "start", "end"), ["doc_id"], ["chunk_no"], __reach=highest(F.col("end")))
+    reach = F.coalesce("__reach", F.lit(0))
+    new = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), reach))
+    cover = reached.groupBy("doc_id").agg(F.sum(new).alias("covered_chars"), F.count_if(F.col("start") > reach).alias("inner_gaps"), F.max("end").alias("__last"))
+    per = spans.groupBy("doc_id").agg(
         F.count("*").alias("chunk_count"), F.min("char_length").alias("min_char_length"), F.max("char_length").alias("max_char_length"),
         F.count_if(F.col("char_length").between(low, high)).alias("target_range_count"), F.count_if(F.col("char_length") < low).alias("short_count"),
         F.count_if(F.col("char_length") > high).alias("oversized_count"), F.count_if(F.col("continuation_index") > 0).alias("continuation_count"),
         F.count_if(F.col("overlap_chars") > 0).alias("overlap_count"), F.countDistinct("chunk_id").alias("unique_ids"),
-        F.countDistinct("content_sha256").alias("unique_contents"), F.sum(new).alias("covered_chars"),
-        F.count_if(F.col("start") > F.col("__reach")).alias("inner_gaps"), F.max("end").alias("__last"),
+        F.countDistinct("content_sha256").alias("unique_contents"),
     )
+    per = per.withColumn("id_collisions", F.col("chunk_count") - F.col("unique_ids")).withColumn("repeated_contents", F.col("chunk_count") - F.col("unique_contents"))
+    pieces = stage(source_blocks(docs), "blocks")
+    fences, whole = pieces.where("kind = 'fence'"), spans.select("doc_id", "start", "end")
+    # a chunk holds a fence if, seen from the ends, the fence's span lies in its own
+    turned = lambda df: df.select("doc_id", F.col("end").alias("start"), F.col("start").alias("end"))
+    large = F.col("end") - F.col("start") > high
+    counts = [
+        fences.groupBy("doc_id").agg(F.count("*").alias("fence_count")), covered(fences, whole, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("preserved_fence_count")),
+        pieces.groupBy("doc_id").agg(F.count("*").alias("block_count")), covered(pieces, merged_spans(whole, ["doc_id"]), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("covered_block_count")),
+        covered(turned(whole.where(large)), turned(fences.where(large)), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("oversized_code_count")),
+    ]
     sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("source_chars"))
-    out = sizes.join(per, "doc_id", "left")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in per.columns if c not in ("doc_id", "inner_gaps", "__last")]
+    out = sizes.join(per, "doc_id", "left").join(cover, "doc_id", "left")
+    for count in counts:
+        out = out.join(count, "doc_id", "left")
+    numbers = [*per.columns[1:], "covered_chars", *[c.columns[1] for c in counts]]
     gaps = F.coalesce("inner_gaps", F.lit(0)) + (F.coalesce("__last", F.lit(0)) < F.col("source_chars")).cast("long")
-    return out.select("doc_id", "source_chars", *zero, gaps.alias("gap_count"))
+    return out.select("doc_id", "source_chars", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers], gaps.alias("gap_count"))
 
 
 def uncovered_blocks(pieces: DataFrame, found: DataFrame) -> DataFrame:
     """The blocks that break the audit: fences that no single chunk holds, and blocks that all chunks together don't cover."""
-    from .checks import covered, merged_spans
-
     whole = found.where("error is null").select("doc_id", "start", "end")
     fences, prose = pieces.where("kind = 'fence'"), pieces
     keys = ["doc_id", "start", "end", "kind"]

@@ -13,14 +13,25 @@ from .bm25 import DIGITS, MAX_TOP_K, check_parameters
 PARTS = 64
 
 
-def search(points: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K, most: int = BROADCAST_ROWS) -> DataFrame:
+def of_model(points: DataFrame, model: tuple[str, str]) -> DataFrame:
+    """points, whose vectors can only be read of the model (name, revision); one of another fails the job that reads it."""
+    same = F.col("embedding_model").eqNullSafe(F.lit(model[0])) & F.col("embedding_revision").eqNullSafe(F.lit(model[1]))
+    refused = F.raise_error(F.concat(F.lit("a point is of another model: "), F.coalesce("embedding_model", F.lit("none"))))
+    return points.withColumn("embedding", F.when(same, F.col("embedding")).otherwise(refused.cast(points.schema["embedding"].dataType)))
+
+
+def search(points: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K, most: int = BROADCAST_ROWS, model: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): the top_k points of each query; ties by doc_id.
 
     points has doc_id and embedding, queries query_id and embedding.  Exact search compares every query with every point;
     the queries, most at most, go to the points, and each task keeps top_k of a query before the shuffle.  More queries are dealt
     into blocks of about most, and each block meets each of PARTS parts of the points under a key of its own.
+
+    model is the name and revision of the model that the queries were embedded with; points then need embedding_model and
+    embedding_revision, and a point of another model, which no score could be compared with, fails the search.
     """
     check_parameters(top_k)
+    points = of_model(points, model) if model else points
     asked = queries.select("query_id", F.col("embedding").alias("asked"))
     told = points.select("doc_id", "embedding")
     same = F.size("embedding") == F.size("asked")

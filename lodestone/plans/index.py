@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import uuid5
 from ..functions.vectors import vector_error
 from ..operators.checks import require_empty, set_differences
+from ..sources.points import PointTable
 from ..sources.writers import KeyValue, Versioned, ids_of_source, require_no_stale, upsert
 from .contracts import other_models
 
@@ -34,10 +35,11 @@ def artifact_points(chunks: DataFrame, vectors: DataFrame, model: str, revision:
     return both.select(uuid5(F.col("chunk_id")).alias("point_id"), "vector", *PROVENANCE, F.lit(model).alias("embedding_model"), F.lit(revision).alias("embedding_revision"))
 
 
-def build(table: Versioned, status: KeyValue, new: DataFrame, source_id: str, dimension: int, model: tuple[str, str] | None = None) -> int:
+def build(table: Versioned | PointTable, status: KeyValue, new: DataFrame, source_id: str, dimension: int, model: tuple[str, str] | None = None) -> int:
     """Writes the points of a source; returns their number.
 
-    model, if given, is the name and revision that all points must have.  The status is not_built until the table holds exactly these points, and stays so if any step fails.
+    model, if given, is the name and revision that all points must have; a PointTable has its own, and of it only the buckets that
+    points fall into are written.  The status is not_built until the table holds exactly these points, and stays so if any step fails.
     """
     status.set(STATUS, NOT_BUILT)
     require_empty(new.where(vector_error(F.col("vector"), dimension).isNotNull()), "a vector is not a unit vector of the right size")
@@ -45,7 +47,10 @@ def build(table: Versioned, status: KeyValue, new: DataFrame, source_id: str, di
         require_empty(other_models(new, *model), "a point is of another model")
     ids = new.select("point_id")
     require_no_stale(table, source_id, ids)
-    upsert(table, new)
+    if isinstance(table, PointTable):
+        table.upsert(new)
+    else:
+        upsert(table, new)
     require_empty(set_differences(ids_of_source(table, source_id), ids, "point_id"), "the table has other points")
     n = table.read().where(F.col("source_id") == source_id).count()
     if n != ids.count():

@@ -122,11 +122,24 @@ def zipped(files: Mapping[str, str | bytes]) -> bytes:
 #: What the archives made of pages hold, by page_id modulo their number; None is no archive at all.
 KINDS: tuple[dict[str, str] | None, ...] = (
     PROJECTS["models"], PROJECTS["negatives"], PROJECTS["broken"], PROJECTS["vendored"], {"../up.py": "x = 1\n"}, None, {"a.py": "x = 1\n", "A.py": "y = 2\n"},
+    {"ok.py": "x = 1\n", "dense.py": "#" * 200_000 + "\n"}, {"large.py": "#" * 1_100_000 + "\n"}, {"secret.py": "x = 1\n"}, {"pkg.py": "x = 1\n", "pkg/__init__.py": "y = 2\n"},
 )
+#: The kind whose members say that they are encrypted.
+ENCRYPTED = 9
 #: Source files begin with so many blank lines at most, by page_id; and the name of the page's own text in the archive.
 SHIFTS, NOTE = 5, "notes/page.txt"
 
 
+def _locked(data: bytes) -> bytes:
+    """A ZIP's bytes, its directory saying that each member is encrypted."""
+    out, at = bytearray(data), data.rfind(b"PK\x05\x06")
+    place = int.from_bytes(data[at + 16 : at + 20], "little")
+    while out[place : place + 4] == b"PK\x01\x02":
+        out[place + 8] |= 1
+        place += 46 + sum(int.from_bytes(out[place + k : place + k + 2], "little") for k in (28, 30, 32))
+    return bytes(out)
+
+
 def archives_from(pages: DataFrame) -> DataFrame:
     """(archive_id, content): an archive for each page (page_id, html), whose kind and blank lines follow from page_id, with the page's text."""
 
@@ -139,7 +152,8 @@ def archives_from(pages: DataFrame) -> DataFrame:
                     for name, source in (files or {}).items():
                         z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source)
                     z.writestr(zipfile.ZipInfo(NOTE, (2020, 1, 1, 0, 0, 0)), html or "", zipfile.ZIP_STORED)
-                rows.append((f"p{page_id}", out.getvalue() if files is not None else b"plain text"))
+                data = _locked(out.getvalue()) if page_id % len(KINDS) == ENCRYPTED else out.getvalue()
+                rows.append((f"p{page_id}", data if files is not None else b"plain text"))
             yield pd.DataFrame(rows, columns=["archive_id", "content"])
 
     return pages.select("page_id", "html").mapInPandas(made, "archive_id string, content binary")

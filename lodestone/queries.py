@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from .functions import paths, text, vectors
 from .functions.tables import if_small
-from .operators import archives, bindings, bm25, checks, chunker, dense, fusion, metrics, rules
+from .operators import archives, bindings, bm25, checks, chunker, dense, fusion, metrics, postings, rules
 from .plans import migration, retrieval, samples
 from .sources import tables
+from .staging import staged_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,6 +116,14 @@ def bm25_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(table(spark, sf_dir, "documents"), _asked(spark, sf_dir))
 
 
+@query(f"WITH {_BM25} SELECT query_id, rank, doc_id, score FROM bm25")
+def bm25_index_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index: built over all documents, opened, and searched by the terms' buckets and the blocks that can reach the top."""
+    path = staged_path(spark, "index")
+    postings.build(table(spark, sf_dir, "documents"), path)
+    return postings.search(postings.opened(spark, path), _asked(spark, sf_dir))
+
+
 @query(f"SELECT count(*) AS n_docs, sum(len(tk))::BIGINT AS total_tokens, round(avg(len(tk)), 9) AS avgdl FROM (SELECT {_tokens('text')} AS tk FROM documents)")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics that lengths are weighed by."""
@@ -215,11 +224,14 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(e).cast("long").alias("dimension"), F.round(vectors.norm(e), 6).alias("norm"), vectors.vector_error(e, 64).alias("error"))
 
 
-@query("SELECT item_id, 384::BIGINT AS dimension, true AS in_range, false AS is_unit FROM benchmark")
+@query("SELECT item_id, CASE WHEN item_id % 3 = 2 THEN 383 ELSE 384 END::BIGINT AS dimension, item_id % 3 <> 0 AS in_range, item_id % 3 = 1 AS is_unit FROM benchmark")
 def fake_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in vectors of the benchmark's texts (SHAKE-256, which SQL lacks): their size, range, and that they aren't of unit length."""
-    v = F.col("vector")
+    """The stand-in vectors of the benchmark's texts (SHAKE-256, which SQL lacks): their size, range and unit length; by id some were
+    stretched, some brought to unit length, and some cut by one number."""
+    v, k = F.col("vector"), F.col("item_id") % 3
     rows = table(spark, sf_dir, "benchmark").select("item_id", text.fake_vector()(text.query_text(F.col("text"))).alias("vector"))
+    changed = F.when(k == 0, F.transform(v, lambda x: x * 40)).when(k == 1, F.transform(v, lambda x: x / vectors.norm(v))).otherwise(F.slice(v, 1, 383))
+    rows = rows.withColumn("vector", changed)
     return rows.select("item_id", F.size(v).cast("long").alias("dimension"), F.forall(v, lambda x: x.between(-1, 1)).alias("in_range"), (F.abs(vectors.norm(v) - 1) < 1e-5).alias("is_unit"))
 
 
@@ -228,11 +240,16 @@ def fake_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 
 
-@query(f"SELECT DISTINCT {_KEY.format('d.text')} AS key FROM documents d JOIN benchmark b ON {_KEY.format('d.text')} = {_KEY.format('b.text')}")
+_PLANTED = "chr(9) || replace(text, ' ', '  ') || chr(10)"
+
+
+@query(f"SELECT DISTINCT {_KEY.format('d.text')} AS key FROM (SELECT text FROM documents UNION ALL SELECT {_PLANTED} FROM benchmark WHERE item_id % 5 = 0) d JOIN benchmark b ON {_KEY.format('d.text')} = {_KEY.format('b.text')}")
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised texts that both documents and the benchmark have."""
-    key = lambda name: table(spark, sf_dir, name).select(text.question_key(F.col("text")).alias("key"))
-    return checks.shared(key("documents"), key("benchmark"), ["key"])
+    """Normalised texts that both documents and the benchmark have; items of some ids were put among the documents with other white space."""
+    asked = table(spark, sf_dir, "benchmark")
+    planted = asked.where("item_id % 5 = 0").select(F.concat(F.lit("\t"), F.regexp_replace("text", " ", "  "), F.lit("\n")).alias("text"))
+    key = lambda df: df.select(text.question_key(F.col("text")).alias("key"))
+    return checks.shared(key(table(spark, sf_dir, "documents").select("text").unionByName(planted)), key(asked), ["key"])
 
 
 @query(f"SELECT item_id, {_KEY.format('text')} AS key FROM benchmark")
@@ -385,13 +402,16 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "valid", "path", paths.in_ignored_directory(F.col("path")).alias("ignored"), paths.is_python(F.col("path")).alias("python"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT list_transform({_PARTS}, lambda c: lower(c)) AS k FROM pages),
+@query(f"""WITH pages2 AS (SELECT url FROM pages UNION ALL SELECT url || '/MORE.html' FROM pages WHERE page_id % 7 = 0),
+p AS (SELECT DISTINCT list_transform({_PARTS}, lambda c: lower(c)) AS k FROM pages2),
 u AS (SELECT k[1] AS host, k, unnest(range(1, len(k))) AS n FROM p)
 SELECT DISTINCT u.host FROM u JOIN p ON p.k = u.k[:u.n]""")
 def path_prefix_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hosts at which one page's path leads on to another's (pages stand in for files)."""
+    """The hosts at which one page's path leads on to another's (pages stand in for files); pages of some ids were given one below them."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    urls = pages.select("url").unionByName(pages.where("page_id % 7 = 0").select(F.concat("url", F.lit("/MORE.html")).alias("url")))
     parts = F.transform(paths.components(F.regexp_replace("url", "^[a-z]+://", "")), lambda c: F.lower(c))
-    keys = table(spark, sf_dir, "pages").select(parts.alias("key")).select(F.element_at("key", 1).alias("host"), "key", F.lit(False).alias("is_directory"))
+    keys = urls.select(parts.alias("key")).select(F.element_at("key", 1).alias("host"), "key", F.lit(False).alias("is_directory"))
     return archives.path_conflicts(keys, "host", "key")
 
 
@@ -421,6 +441,23 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "chunk_no", "start", "end", "continuation_index", "overlap_chars", "char_length", "content_sha256", "chunk_id")
 
 
+_LETTERS = "'x' || regexp_replace(coalesce(substr(text, 1, 200), ''), '[^A-Za-z]', ' ', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 4 + length({_LETTERS}) AS pre, length('' || doc_id) AS n, length({_LETTERS}) AS w FROM documents),
+s AS (SELECT doc_id, pre + 2 AS a, pre + 2 + 9 + n + 2 + w + 2 + 6 + 14 + n + 1 + 3 + 2 AS b, w FROM d)
+SELECT doc_id, 0 AS chunk_no, '' AS heading, 0::BIGINT AS "start", a::BIGINT AS "end" FROM s
+UNION ALL SELECT doc_id, 1, 'Alpha ' || doc_id, a, b FROM s
+UNION ALL SELECT doc_id, 2, 'Alpha ' || doc_id || ' > Beta', b, b + 11 + 5 + w + 1 FROM s""")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a Markdown text made of each document's first letters: two headings, and a fence with what is none."""
+    w = F.concat(F.lit("x"), F.regexp_replace(F.coalesce(F.substring("text", 1, 200), F.lit("")), "[^A-Za-z]", " "))
+    i = F.col("doc_id").cast("string")
+    made = F.concat(F.lit("pre "), w, F.lit("\n\n## Alpha "), i, F.lit("\n\n"), w, F.lit("\n\n```py\n## no heading\n"), i, F.lit("\n```\n\n### Beta ##\n\ntail "), w, F.lit("\n"))
+    found = chunker.chunks(table(spark, sf_dir, "documents").select("doc_id", made.alias("text")))
+    return found.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.array_join("heading_path", " > ").alias("heading"), "start", "end")
+
+
 _CHUNKS = "SELECT user_id, event_id * 10 - 3 AS start, event_id * 10 + 4000 AS stop FROM events WHERE event_id % 3 = 0"
 
 
@@ -453,7 +490,8 @@ def _lines(pattern: str) -> list[tuple]:
 
 
 #: Kinds that are rejected by their members, and by their sources.
-_REJECTED, _UNSCANNED = {4: "invalid_member_path", 5: "invalid_archive", 6: "duplicate_destination"}, {2: "syntax_error"}
+_REJECTED = {4: "invalid_member_path", 5: "invalid_archive", 6: "duplicate_destination", 7: "compression_ratio_exceeded", 8: "member_too_large", 9: "encrypted_member"}
+_UNSCANNED = {2: "syntax_error", 10: "module_name_conflict"}
 _ARCHIVES = f"""a AS (SELECT page_id, 'p' || page_id AS archive_id, page_id % {len(samples.KINDS)} AS kind, page_id % {samples.SHIFTS} AS shift, strlen(coalesce(html, '')) AS note FROM pages),
 {_values("e", "kind, error", [*_REJECTED.items(), *_UNSCANNED.items()])},
 {_values("f", "kind, ordinal, path, bytes, lines", [(k, i, p, len(t.encode()), len(t.splitlines())) for k, files in enumerate(samples.KINDS) for i, (p, t) in enumerate((files or {}).items())])},
@@ -482,7 +520,8 @@ def zip_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_ARCHIVES} SELECT archive_id, ordinal::INT AS ordinal, path AS raw_name, CASE WHEN path NOT LIKE '..%' THEN path END AS path, false AS is_directory, source AND NOT ignored AND path NOT LIKE '..%' AS is_python, ignored AS is_ignored_python,
-bytes::BIGINT AS file_size, CASE WHEN path LIKE '..%' THEN 'invalid_member_path' WHEN kind = 6 AND ordinal = 1 THEN 'duplicate_destination' END AS error_type FROM m
+bytes::BIGINT AS file_size, CASE WHEN path LIKE '..%' THEN 'invalid_member_path' WHEN kind = 6 AND ordinal = 1 THEN 'duplicate_destination'
+WHEN kind = 7 AND ordinal = 1 THEN 'compression_ratio_exceeded' WHEN kind = 8 AND ordinal = 0 THEN 'member_too_large' WHEN kind = 9 THEN 'encrypted_member' END AS error_type FROM m
 UNION ALL SELECT archive_id, NULL, NULL, NULL, NULL, false, false, NULL, 'invalid_archive' FROM a WHERE kind = 5""")
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each member and the first check that it fails."""

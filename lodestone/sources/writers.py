@@ -9,8 +9,6 @@ import csv
 import hashlib
 import io
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
 from pathlib import Path
@@ -20,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.checks import duplicates, missing_from, require_empty
+from .files import Files
 
 METRICS = ("system", "question_count", "recall_at_1", "recall_at_3", "mrr_at_5")
 
@@ -44,44 +43,44 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def publish(files: Mapping[str, bytes], folder: str | Path) -> str:
+def _pointers(files: Files) -> list[str]:
+    return [n for n in files.names() if n.startswith("current-")]
+
+
+def publish(files: Mapping[str, bytes], folder: str | Path, spark: SparkSession | None = None) -> str:
     """Publishes files together; `unchanged` if all are there already, else `published`.
 
-    The set is written to a folder of its own, and one pointer file is then replaced, so readers see all or none of it.
+    folder is on any file system that Spark knows.  The set is written to a folder of its own, and then a numbered pointer is made, which
+    readers look for last, so they see all or none of it.  A pointer is never written over: of several publishers each
+    makes a number of its own, and the last one counts.
     """
-    top = Path(folder)
-    if any(n in ("", ".", "..") or set(n) & set("/\\\0") for n in files):
+    if any(n in ("", ".", "..") or n.startswith(".") or set(n) & set("/\\\0") for n in files):
         raise ValueError("the name of a published file must stay under the folder")
     version = hashlib.sha256(b"".join(name.encode() + hashlib.sha256(data).digest() for name, data in sorted(files.items()))).hexdigest()[:32]
-    pointer = top / "CURRENT"
-    home = top / version
-    # a file that is missing or altered is published again
-    if pointer.exists() and pointer.read_text() == version and all((home / n).is_file() and (home / n).read_bytes() == d for n, d in files.items()):
-        return "unchanged"
-    home.mkdir(parents=True, exist_ok=True)
-    for name, data in files.items():
-        _replace(home / name, data)
-    _replace(pointer, version.encode())
-    return "published"
-
-
-def published(folder: str | Path) -> dict[str, bytes]:
+    top = Files(spark or SparkSession.active(), str(folder))
+    while True:
+        pointers = _pointers(top)
+        # a file that is missing or altered is published again
+        lost = [n for n, d in files.items() if top.read(f"{version}/{n}") != d]
+        if pointers and not lost and top.read(pointers[-1]) == version.encode():
+            return "unchanged"
+        for name in lost:
+            top.replace(f"{version}/{name}", files[name])
+        if pointers and top.read(pointers[-1]) == version.encode():
+            return "published"
+        number = int(pointers[-1].removeprefix("current-")) + 1 if pointers else 1
+        if top.create(f"current-{number:010d}", version.encode()):
+            return "published"
+
+
+def published(folder: str | Path, spark: SparkSession | None = None) -> dict[str, bytes]:
     """The files that were published last."""
-    home = Path(folder) / (Path(folder) / "CURRENT").read_text()
-    return {p.name: p.read_bytes() for p in home.iterdir()}
-
-
-def _replace(target: Path, data: bytes) -> None:
-    handle, draft = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
-    try:
-        with os.fdopen(handle, "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(draft, target)
-    except BaseException:
-        Path(draft).unlink(missing_ok=True)
-        raise
+    top = Files(spark or SparkSession.active(), str(folder))
+    pointers = _pointers(top)
+    if not pointers:
+        raise FileNotFoundError(f"nothing is published at {folder}")
+    home = top.read(pointers[-1]).decode()
+    return {n: top.read(f"{home}/{n}") for n in top.names(home) if not n.startswith(".")}
 
 
 def snapshot_manifest(files: DataFrame, **provenance: str) -> DataFrame:

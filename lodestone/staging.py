@@ -37,9 +37,14 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+def staged_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own among this session's intermediate tables."""
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str, level: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage; lost executors lose none of it."""
-    path = f"{session_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, label)
     df.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

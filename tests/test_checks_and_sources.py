@@ -61,28 +61,46 @@ def test_canonical_writers():
     assert writers.metrics_csv(rows) == b"system,question_count,recall_at_1,recall_at_3,mrr_at_5\ns,12,0.916666666667,1,0.944444444444\n"
 
 
-def test_publish_is_all_or_nothing(tmp_path, monkeypatch):
-    assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "published"
-    assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "unchanged"
-
-    next((tmp_path).glob("*/b")).unlink()
-    assert writers.publish({"a": b"1", "b": b"2"}, tmp_path) == "published"  # a lost file comes back
-    assert writers.published(tmp_path) == {"a": b"1", "b": b"2"}
-    for name in ("../x", "a/b", "..", ""):
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    folder = (tmp_path / "set").as_uri()
+    with pytest.raises(FileNotFoundError):
+        writers.published(folder)
+    assert writers.publish({"a": b"1", "b": b"2"}, folder) == "published"
+    assert writers.publish({"a": b"1", "b": b"2"}, folder) == "unchanged"
+
+    next((tmp_path / "set").glob("*/b")).unlink()
+    assert writers.publish({"a": b"1", "b": b"2"}, folder) == "published"  # a lost file comes back
+    next((tmp_path / "set").glob("*/a")).write_bytes(b"x")
+    assert writers.publish({"a": b"1", "b": b"2"}, folder) == "published"  # and an altered one
+    assert writers.published(folder) == {"a": b"1", "b": b"2"} and len(list((tmp_path / "set").glob("current-*"))) == 1
+    for name in ("../x", "a/b", "..", "", ".hidden"):
         with pytest.raises(ValueError):
-            writers.publish({name: b""}, tmp_path)
+            writers.publish({name: b""}, folder)
 
-    def broken(target, data):
+    def broken(*_):
         raise OSError
 
-    real = writers._replace
-    monkeypatch.setattr(writers, "_replace", lambda t, d: broken(t, d) if t.name == "CURRENT" else real(t, d))
+    monkeypatch.setattr(writers.Files, "create", broken)
     with pytest.raises(OSError):
-        writers.publish({"a": b"3", "b": b"4"}, tmp_path)
-    assert writers.published(tmp_path) == {"a": b"1", "b": b"2"}
+        writers.publish({"a": b"3", "b": b"4"}, folder)
+    assert writers.published(folder) == {"a": b"1", "b": b"2"}
+    monkeypatch.undo()
+    assert writers.publish({"a": b"3"}, str(tmp_path / "set")) == "published" and writers.published(folder) == {"a": b"3"}
+    assert not list((tmp_path / "set").glob(".*[!c]"))  # no drafts are left, but for checksums
     assert json.loads(writers.run_manifest({"i": b""}, {"o": b"x"}, {"k": 1}))["outputs"]["o"]["byte_length"] == 1
 
 
+def test_publishers_at_once_leave_one_whole_set(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "set")
+    sets = [{"a": bytes([i]) * 10, "b": bytes([i, i])} for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        assert set(pool.map(lambda s: writers.publish(s, folder, spark), sets)) == {"published"}
+    assert writers.published(folder) in sets
+    assert len(list((tmp_path / "set").glob("current-*"))) == 6  # no pointer was written over
+
+
 def test_index_is_ready_only_when_verified(spark, tmp_path):
     table = writers.Versioned(spark, str(tmp_path / "points"))
     status = writers.KeyValue(spark, str(tmp_path / "kv"), {index.STATUS: index.NOT_BUILT})
