@@ -448,7 +448,7 @@ _LETTERS = "'x' || regexp_replace(coalesce(substr(text, 1, 200), ''), '[^A-Za-z]
 s AS (SELECT doc_id, pre + 2 AS a, pre + 2 + 9 + n + 2 + w + 2 + 6 + 14 + n + 1 + 3 + 2 AS b, w FROM d)
 SELECT doc_id, 0 AS chunk_no, '' AS heading, 0::BIGINT AS "start", a::BIGINT AS "end" FROM s
 UNION ALL SELECT doc_id, 1, 'Alpha ' || doc_id, a, b FROM s
-UNION ALL SELECT doc_id, 2, 'Alpha ' || doc_id || ' > Beta', b, b + 11 + 5 + w + 1 FROM s""")
+UNION ALL SELECT doc_id, 2, 'Alpha ' || doc_id || ' > Beta', b, b + 11 + 2 + 5 + w + 1 FROM s""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of a Markdown text made of each document's first letters: two headings, and a fence with what is none."""
     w = F.concat(F.lit("x"), F.regexp_replace(F.coalesce(F.substring("text", 1, 200), F.lit("")), "[^A-Za-z]", " "))
