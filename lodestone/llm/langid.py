@@ -21,8 +21,9 @@ from .common import small_batches, stage, within_bound
 
 #: Units of each direction; bytes of a window; windows labelled at once.
 HIDDEN, WINDOW, BATCH = 12, 128, 2_048
-#: The sample that is learned from: so many documents of each language at most, on average, and windows of each.
-SAMPLE, CUTS = 1_500, 4
+#: The sample that is learned from: so many documents of each language at most, on average, and windows of each; and the most languages,
+#: of those with most documents, so that a column of stray values doesn't make the sample grow.
+SAMPLE, CUTS, LABELS = 1_500, 4, 256
 STEPS, STEP_WINDOWS, RATE, SEED = 450, 192, 0.02, 7
 UNKNOWN = "und"
 #: accepted() rejects a text if what its bytes leave to all languages, with BELIEF bytes more that are held to be in one, is a share below
@@ -219,12 +220,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, documents: int = SAMPLE, cuts: int = CUTS, window: int = WINDOW) -> list[tuple[str, bytes]]:
-    """(lang, window) of a bounded sample of the labelled rows that aren't held out: documents * cuts windows of a language.
+    """(lang, window) of a bounded sample of the labelled rows that aren't held out: documents * cuts windows of each of LABELS languages.
 
     A document is in the sample if the hash of its id is below its language's threshold; its windows begin anywhere in it.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
     share = F.least(F.lit(1.0), F.lit(float(documents)) / F.col("n"))
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 11) / F.lit(2.0**53)
     # languages are few, so their shares go to the rows; texts aren't shuffled

@@ -122,7 +122,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, which needs doc_id (long) and text; other columns are ignored.
 
     Counts of each kind, the SHA-256 of the base spans, and all spans as kind:start:end.  Null and empty texts have no
-    span and the digest of an empty string.  Null doc_ids and repeated rows stay as they are.  No shuffle: each text is
+    span and the digest of an empty string.  Null doc_ids and repeated rows stay as they are.  An empty table gives no rows.  No shuffle: each text is
     scanned where it is read, one at a time.
     """
     small_batches(docs.sparkSession)

@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs, which needs doc_id (long) and text.
 
     Other columns are ignored.  Null and empty texts have no bytes and no tokens.  Null doc_ids and repeated rows stay as
-    they are.  path is the model's file, the same on every executor.  No shuffle; a worker holds one text's tokens at a time.
+    they are, and an empty table gives no rows.  path is the model's file, the same on every executor.  No shuffle; a worker holds one text's tokens at a time.
     """
     small_batches(docs.sparkSession)
 

@@ -36,6 +36,13 @@ def test_stages_apply(spark, docs):
     assert {r.doc_id for r in sizes["packed"].collect()} == set(ids["mixture"])
 
 
+def test_an_empty_table_passes_all_stages(spark, make):
+    kept = make([])
+    for name, stage in corpus_pipeline.STAGES:
+        columns, kept = kept.columns, stage(spark, kept, SF)
+        assert kept.count() == 0 and (name == "packed" or kept.columns == columns)
+
+
 def test_near_dedup_takes_copies_beyond_three_bits(spark, make):
     import random
 

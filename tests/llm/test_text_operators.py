@@ -83,6 +83,12 @@ def test_the_empty_label_is_a_language_like_any_other(make):
     assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.97 and "" in {r.lang_pred for r in got}
 
 
+def test_stray_labels_do_not_make_the_sample_grow(make, monkeypatch):
+    monkeypatch.setattr(langid, "LABELS", 3)
+    rows = texts() + [(5_000 + i, "stray label", f"x{i}", "s") for i in range(40)]
+    assert {lang for lang, _ in langid.sample(make(rows))} == set(LANGS)
+
+
 def test_the_empty_label_alone(make):
     only = [(i, t, "", s) for i, t, lang, s in texts(60)]
     net = langid.Network.new([""], 4, other=True)
