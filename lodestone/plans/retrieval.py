@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import question_key, question_part, query_error
-from ..operators import bm25, checks, dense, fusion, metrics
+from ..operators import bm25, checks, dense, fusion, metrics, postings
+from ..staging import stage
 
 SYSTEMS = ("bm25", "dense", "hybrid")
 #: How categories are called in a rendered query.
@@ -23,14 +24,21 @@ LABELS = {
 DEV, LOCKED, A_CATEGORY = 12, 20, 4
 
 
-def hybrid(docs: DataFrame, points: DataFrame, queries: DataFrame, vectors: DataFrame, rrf_k: int = fusion.RRF_K) -> DataFrame:
+def lexical(docs: DataFrame | postings.Index, queries: DataFrame) -> DataFrame:
+    """The lexical candidates, from the documents or from an index that was built of them."""
+    search = postings.search if isinstance(docs, postings.Index) else bm25.search
+    return search(docs, queries, fusion.CANDIDATES)
+
+
+def hybrid(docs: DataFrame | postings.Index, points: DataFrame, queries: DataFrame, vectors: DataFrame, rrf_k: int = fusion.RRF_K) -> DataFrame:
     """The fused ranking of queries (query_id, text), whose vectors are (query_id, embedding)."""
-    return fusion.fuse(bm25.search(docs, queries, fusion.CANDIDATES), dense.search(points, vectors, fusion.CANDIDATES), rrf_k)
+    return fusion.fuse(lexical(docs, queries), dense.search(points, vectors, fusion.CANDIDATES), rrf_k)
 
 
-def systems(docs: DataFrame, points: DataFrame, queries: DataFrame, vectors: DataFrame, rrf_k: int = fusion.RRF_K) -> DataFrame:
+def systems(docs: DataFrame | postings.Index, points: DataFrame, queries: DataFrame, vectors: DataFrame, rrf_k: int = fusion.RRF_K) -> DataFrame:
     """(system, query_id, rank, doc_id): the rankings of the three systems; the hybrid one whole."""
-    a, b = bm25.search(docs, queries, fusion.CANDIDATES), dense.search(points, vectors, fusion.CANDIDATES)
+    # both are read twice; they have a few rows a query
+    a, b = stage(lexical(docs, queries), "lexical"), stage(dense.search(points, vectors, fusion.CANDIDATES), "dense")
     each = zip(SYSTEMS, (a, b, fusion.fuse(a, b, rrf_k)))
     ranked = [df.select(F.lit(name).alias("system"), "query_id", "rank", "doc_id") for name, df in each]
     return ranked[0].unionByName(ranked[1]).unionByName(ranked[2])

@@ -79,6 +79,38 @@ def test_audit_and_blocks(spark):
     assert {r.reason for r in C.uncovered_blocks(C.source_blocks(docs), lost).collect()} == {"not_covered"}
 
 
+def test_all_numbers_of_the_audit(spark):
+    """Against plain loops over the same chunks, with some of them lost, repeated or moved."""
+    text = "intro\n\n## A\n\n" + "Words are here. " * 150 + "\n\n```py\n" + "x = 1\n" * 300 + "```\n\n### B\n\nshort\n\n~~~\ny\n~~~\n\n## C\n\n" + "more text " * 90 + "\n"
+    docs = frame(spark, text)
+    whole = C.chunks(docs).orderBy("chunk_no").collect()
+    blocks = C.blocks(text)
+    for chosen in (whole, whole[1:], whole[:2] + whole[3:], whole + whole[-1:]):
+        spans = [(r.start, r.end) for r in chosen]
+        rows = [r.asDict() | {"chunk_no": i} for i, r in enumerate(chosen)]
+        got = C.audit(docs, spark.createDataFrame(rows, C.chunks(docs).schema)).first().asDict()
+        covered, reach, gaps = set(), 0, 0
+        for a, b in spans:
+            gaps += a > reach
+            covered |= set(range(a, b))
+            reach = max(reach, b)
+        holds = lambda a, b: any(x <= a and b <= y for x, y in spans)
+        fences = [(a, b) for a, b, k in blocks if k == "fence"]
+        n, ids, contents = len(chosen), {r.chunk_id for r in chosen}, {r.content_sha256 for r in chosen}
+        lengths = [r.char_length for r in chosen]
+        assert got == {
+            "doc_id": got["doc_id"], "source_chars": len(text), "chunk_count": n, "min_char_length": min(lengths), "max_char_length": max(lengths),
+            "target_range_count": sum(500 <= x <= 1200 for x in lengths), "short_count": sum(x < 500 for x in lengths), "oversized_count": sum(x > 1200 for x in lengths),
+            "continuation_count": sum(r.continuation_index > 0 for r in chosen), "overlap_count": sum(r.overlap_chars > 0 for r in chosen),
+            "unique_ids": len(ids), "unique_contents": len(contents), "id_collisions": n - len(ids), "repeated_contents": n - len(contents), "covered_chars": len(covered),
+            "fence_count": len(fences), "preserved_fence_count": sum(holds(*f) for f in fences), "block_count": len(blocks),
+            "covered_block_count": sum(covered >= set(range(a, b)) for a, b, _ in blocks),
+            "oversized_code_count": sum(y - x > 1200 and any(b - a > 1200 and x <= a and b <= y for a, b in fences) for x, y in spans),
+            "gap_count": gaps + (reach < len(text)),
+        }
+    assert any(b - a > 1200 for a, b in fences)
+
+
 @pytest.mark.parametrize("low, high, overlap", [(0, 10, 1), (11, 10, 1), (5, 10, 10)])
 def test_sizes_are_checked(spark, low, high, overlap):
     with pytest.raises(ValueError):

@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_file
 from lodestone import queries
@@ -33,9 +34,30 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows == sorted(repr(value(tuple(r[i] for i in order))) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
-def test_query_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+def test_chunks_are_slices_of_their_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = queries.QUERIES["chunk_rows"](spark, SF).join(docs, "doc_id").cache()
+    own = F.expr("substring(text, cast(start as int) + 1, cast(end - start as int))")
+    wrong = (F.sha2(own, 256) != F.col("content_sha256")) | (F.length(own) != F.col("char_length")) | ~F.col("chunk_id").rlike("^sha256:[0-9a-f]{64}$")
+    assert rows.count() >= docs.where("text <> ''").count() and rows.where(wrong).count() == 0
+    assert rows.select("chunk_id").distinct().count() == rows.count()
+
+
+def test_audits_add_up(spark):
+    rows = queries.QUERIES["chunk_audit"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count() and len(rows[0]) == 21
+    for r in rows:
+        assert r.gap_count == 0 and r.covered_chars == r.source_chars and r.target_range_count + r.short_count + r.oversized_count == r.chunk_count
+        assert r.unique_ids + r.id_collisions == r.unique_contents + r.repeated_contents == r.chunk_count
+        assert r.preserved_fence_count == r.fence_count and r.covered_block_count == r.block_count >= (r.source_chars > 0)
+
+
+def test_facts_are_of_scanned_files(spark):
+    facts = queries.QUERIES["source_facts"](spark, SF)
+    kinds = {r.kind: r.n for r in facts.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert {"file", "import", "class", "binding", "use"} <= set(kinds) and "error" not in kinds
+    classes = queries.QUERIES["source_classes"](spark, SF)
+    assert kinds["class"] == classes.count() and facts.where("kind <> 'file' and line < 1").count() == 0
 
 
 def test_entry(spark):
