@@ -124,8 +124,8 @@ KINDS: tuple[dict[str, str] | None, ...] = (
     PROJECTS["models"], PROJECTS["negatives"], PROJECTS["broken"], PROJECTS["vendored"], {"../up.py": "x = 1\n"}, None, {"a.py": "x = 1\n", "A.py": "y = 2\n"},
     {"ok.py": "x = 1\n", "dense.py": "#" * 200_000 + "\n"}, {"large.py": "#" * 1_100_000 + "\n"}, {"secret.py": "x = 1\n"}, {"pkg.py": "x = 1\n", "pkg/__init__.py": "y = 2\n"},
 )
-#: The kind whose members say that they are encrypted.
-ENCRYPTED = 9
+#: The kind whose members say that they are encrypted; sources of more characters are compressed.
+ENCRYPTED, LARGE = 9, 100_000
 #: Source files begin with so many blank lines at most, by page_id; and the name of the page's own text in the archive.
 SHIFTS, NOTE = 5, "notes/page.txt"
 
@@ -150,7 +150,8 @@ def archives_from(pages: DataFrame) -> DataFrame:
                 files, out = KINDS[page_id % len(KINDS)], io.BytesIO()
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                     for name, source in (files or {}).items():
-                        z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source)
+                        packed = zipfile.ZIP_DEFLATED if len(source) > LARGE else zipfile.ZIP_STORED
+                        z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source, packed)
                     z.writestr(zipfile.ZipInfo(NOTE, (2020, 1, 1, 0, 0, 0)), html or "", zipfile.ZIP_STORED)
                 data = _locked(out.getvalue()) if page_id % len(KINDS) == ENCRYPTED else out.getvalue()
                 rows.append((f"p{page_id}", data if files is not None else b"plain text"))

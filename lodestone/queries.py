@@ -579,3 +579,6 @@ def reverse_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each archive's totals or first error, of its members or its sources."""
     return migration.scan(_archives(spark, sf_dir))[2]
+
+
+from . import contract_queries  # noqa: E402, F401  registers the queries of contracts and stored tables
