@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import archives, checks
-from .plans import contracts, migration, retrieval
-from .queries import _ARCHIVES, _REJECTED, _archives, query, table
+from .functions import paths, text
+from .operators import archives, checks, chunker
+from .plans import contracts, index, migration, retrieval
+from .queries import _ARCHIVES, _LETTERS, _REJECTED, _SCORES, _archives, _asked, _paired, _points, markdown_of, query, table
+from .sources import readers, writers
 from .sources.points import PointTable, Properties
 from .staging import staged_path
 
@@ -152,3 +154,77 @@ def point_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     points.upsert(made(rows.where("vec_id % 10 = 0 and vec_id % 15 <> 7"), "late").unionByName(more))
     found = points.read()
     return found.select(F.col("point_id").cast("long").alias("vec_id"), "batch", "source_id", F.size("vector").cast("long").alias("dimension"))
+
+
+# -- Markdown whose sections, blocks and ids SQL can tell ----------------------------------------------------------------------
+
+_TEXT = f"""replace('pre ' || {_LETTERS} || '~~## Alpha ' || doc_id || '~~' || {_LETTERS} || '~~```py~## no heading~' || doc_id || '~```~~### Beta ##~~tail ' || {_LETTERS} || '~', '~', chr(10))"""
+_SECTIONS = f"""t AS (SELECT doc_id, {_TEXT} AS m, 4 + length({_LETTERS}) + 2 AS a FROM documents),
+u AS (SELECT doc_id, m, a, strpos(m, '### Beta') - 1 AS b, length(m) AS e FROM t),
+s AS (SELECT doc_id, 0 AS chunk_no, [] AS path, 0 AS start, a AS stop, m FROM u UNION ALL SELECT doc_id, 1, ['Alpha ' || doc_id], a, b, m FROM u
+  UNION ALL SELECT doc_id, 2, ['Alpha ' || doc_id, 'Beta'], b, e, m FROM u),
+c AS (SELECT *, substr(m, start + 1, stop - start) AS own FROM s),
+i AS (SELECT *, 'sha256:' || sha256('{{"heading_path":[' || array_to_string(list_transform(path, lambda p: '"' || p || '"'), ',') || '],"identity_schema":"{chunker.SCHEME}","source_id":"documents","source_path":"' || doc_id || '","text":"' || replace(own, chr(10), chr(92) || 'n') || '"}}' || chr(10) || 'occurrence=0') AS chunk_id FROM c)"""
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][(('0x' || substr(h, 17, 1))::INT & 3) + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(f"""WITH {_SECTIONS} SELECT {_UUID} AS point_id, chunk_id, array_to_string(path, ' > ') AS heading, sha256(own) AS content_sha256, start, stop AS "end", 0 AS continuation_index, 0 AS overlap_chars, 0 AS identity_occurrence, 'guide' AS source_id, 'stand-in' AS embedding_model
+FROM (SELECT *, sha1(unhex('{text.POINT_NAMESPACE.replace("-", "")}') || encode(chunk_id)) AS h FROM i) WHERE doc_id % 3 <> 1""")
+def markdown_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of Markdown chunks with their ids, for those chunks that have a vector: by id every third document has none."""
+    found = chunker.chunks(markdown_of(table(spark, sf_dir, "documents")))
+    vectors = found.where("doc_id % 3 <> 1").select("chunk_id", F.array(F.lit(1.0)).alias("vector"))
+    made = index.points(found, vectors, "guide", "stand-in")
+    return made.select("point_id", "chunk_id", F.array_join("heading_path", " > ").alias("heading"), "content_sha256", "start", "end", "continuation_index", "overlap_chars", F.col("identity_occurrence").cast("int").alias("identity_occurrence"), "source_id", "embedding_model")
+
+
+@query(f"""WITH {_SECTIONS}, k AS (SELECT *, stop - start AS n FROM c WHERE doc_id % 5 <> 0 OR chunk_no <> 1), l AS (SELECT doc_id, count(*) AS chunk_count, min(n) AS low, max(n) AS high, count_if(n BETWEEN 500 AND 1200) AS fit, count_if(n < 500) AS short, count(DISTINCT own) AS contents, sum(n)::BIGINT AS covered FROM k GROUP BY doc_id)
+SELECT doc_id, e AS source_chars, chunk_count, low AS min_char_length, high AS max_char_length, fit AS target_range_count, short AS short_count, 0 AS oversized_count, 0 AS continuation_count, 0 AS overlap_count, chunk_count AS unique_ids, contents AS unique_contents, 0 AS id_collisions,
+chunk_count - contents AS repeated_contents, covered AS covered_chars, 1 AS fence_count, (doc_id % 5 <> 0)::BIGINT AS preserved_fence_count, 6 AS block_count, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 6 END AS covered_block_count, 0 AS oversized_code_count, (doc_id % 5 = 0)::BIGINT AS gap_count
+FROM u JOIN l USING (doc_id)""")
+def markdown_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of Markdown chunks, of which every fifth document has lost the one with the fence."""
+    docs = markdown_of(table(spark, sf_dir, "documents"))
+    return chunker.audit(docs, chunker.chunks(docs).where("doc_id % 5 <> 0 or chunk_no <> 1"))
+
+
+# -- sources and sinks ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, text, lang, n_chars FROM documents")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, written as a JSON object a line and read with a declared schema."""
+    path = staged_path(spark, "lines")
+    writers.json_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), path)
+    return spark.read.schema("doc_id long, text string, lang string, n_chars long").option("mode", "FAILFAST").json(path)
+
+
+@query("""SELECT coalesce(b.doc_id, s.doc_id)::VARCHAR AS key, CASE WHEN b.doc_id IS NULL OR s.doc_id IS NULL THEN 'incomplete' WHEN s.doc_id % 4 = 0 THEN 'corrupt' ELSE 'hit' END AS state
+FROM (SELECT doc_id FROM documents WHERE doc_id % 6 <> 0) b FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) s ON b.doc_id = s.doc_id""")
+def cache_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of a cache of the documents in which, by id, bodies or checksums are missing and checksums are wrong."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("content"))
+    sums = docs.where("doc_id % 5 <> 0").select("key", F.concat(F.sha2("content", 256), _when("doc_id % 4 = 0", "0", " ")).alias("sha256"))
+    return readers.cache_state(docs.where("doc_id % 6 <> 0"), sums)
+
+
+@query("SELECT doc_id::VARCHAR AS source_id, sha256(text) AS sha256, strlen(text) AS byte_length, 'MIT' AS license FROM documents")
+def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a snapshot of the documents, but for its time."""
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.col("text").cast("binary").alias("content"))
+    return writers.snapshot_manifest(files, license="MIT").drop("retrieved_at_utc")
+
+
+@query("SELECT page_id, page_id % 6 = 0 AS under FROM pages UNION ALL SELECT -page_id - 1, page_id % 2 = 0 FROM pages WHERE page_id % 5 = 0")
+def contained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths, made of page ids, stay under their folder: parents, roots, drives, empty parts and backslashes don't."""
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    ways = F.expr("case page_id % 6 when 0 then 'a/' || page_id || '.html' when 1 then '../' || page_id when 2 then '/' || page_id when 3 then 'c:' || page_id when 4 then 'a//' || page_id else 'a/./' || page_id end")
+    more = pages.where("page_id % 5 = 0").select((-F.col("page_id") - 1).alias("page_id"), F.expr("if(page_id % 2 = 0, '..a/b..', 'a\\\\b')").alias("path"))
+    return pages.withColumn("path", ways).unionByName(more).select("page_id", paths.stays_under(F.col("path")).alias("under"))
+
+
+@query(f"WITH {_SCORES} SELECT * FROM hits")
+def system_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rankings of all three systems, the hybrid one whole."""
+    return retrieval.systems(table(spark, sf_dir, "documents"), _points(spark, sf_dir), _asked(spark, sf_dir), _paired(spark, sf_dir))

@@ -451,11 +451,16 @@ UNION ALL SELECT doc_id, 1, 'Alpha ' || doc_id, a, b FROM s
 UNION ALL SELECT doc_id, 2, 'Alpha ' || doc_id || ' > Beta', b, b + 11 + 2 + 5 + w + 1 FROM s""")
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of a Markdown text made of each document's first letters: two headings, and a fence with what is none."""
+    found = chunker.chunks(markdown_of(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.array_join("heading_path", " > ").alias("heading"), "start", "end")
+
+
+def markdown_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a Markdown text of three sections and a fence, of each document's first letters."""
     w = F.concat(F.lit("x"), F.regexp_replace(F.coalesce(F.substring("text", 1, 200), F.lit("")), "[^A-Za-z]", " "))
     i = F.col("doc_id").cast("string")
     made = F.concat(F.lit("pre "), w, F.lit("\n\n## Alpha "), i, F.lit("\n\n"), w, F.lit("\n\n```py\n## no heading\n"), i, F.lit("\n```\n\n### Beta ##\n\ntail "), w, F.lit("\n"))
-    found = chunker.chunks(table(spark, sf_dir, "documents").select("doc_id", made.alias("text")))
-    return found.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.array_join("heading_path", " > ").alias("heading"), "start", "end")
+    return docs.select("doc_id", made.alias("text"))
 
 
 _CHUNKS = "SELECT user_id, event_id * 10 - 3 AS start, event_id * 10 + 4000 AS stop FROM events WHERE event_id % 3 = 0"
