@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..staging import checkpoint_dir, drop_staged, stage
+from ..staging import checkpoint_dir, drop, drop_staged, stage
 
-__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "WORD", "checkpoint_dir", "drop_staged", "n_words", "running", "small_batches", "stage", "within_bound"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "WORD", "checkpoint_dir", "drop", "drop_staged", "n_words", "running", "small_batches", "stage", "within_bound"]
 
 #: A word, in Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while mark != (now := _mark(edges)) and now[0]:
         mark = now
-        edges = stage(_star(_star(edges, large=True), large=False), "links")
+        before, edges = edges, stage(_star(_star(edges, large=True), large=False), "links")
+        drop(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lodestone import staging
 from lodestone.llm import components, fingerprints, lines, mixing, packing, resembling, shards, simhash
 from lodestone.llm.bytebpe import encoder
 
@@ -101,6 +102,26 @@ def five_words(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, bool(w)))}
 
 
+def test_frequent_members_are_put_off_wherever_their_hashes_lie(spark, make):
+    passage = " ".join(f"common{i}" for i in range(60))
+    texts = [f"{passage} " + " ".join(f"own{k}x{i}" for i in range(140)) for k in range(30)]
+    docs = make([(i, t, "en", "a") for i, t in enumerate(texts)]).withColumn("tie", F.xxhash64("text"))
+    last = resembling._frequent(docs, resembling.LEAST)
+    shared = set(resembling.shingles(passage).view(np.int64).tolist())
+    assert shared == set(last.tolist())  # not only those that stand first in a text
+    keys = resembling._prefixes(docs, resembling.LEAST, last).select("key").collect()
+    assert not shared & {r.key for r in keys}
+
+
+def test_resembling_leaves_no_spent_tables(spark, make):
+    staging.drop_staged(spark)
+    rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(40)) + f" own{i}", "en", "a") for i in range(40)]
+    assert resembling.deduplicated(make(rows)).count() == 7
+    top = staging.session_dir(spark).removeprefix("file://")
+    left = {d.rsplit("-", 1)[0] for d in os.listdir(top)}
+    assert not left & {"prefixes", "headed", "heads", "rooted", "members", "wanted", "differences", "told", "direct"}
+
+
 @pytest.mark.parametrize("direct", [1, resembling.DIRECT])
 def test_resembling_equals_brute_force(make, odd, monkeypatch, direct):
     monkeypatch.setattr(resembling, "MANY", 3)  # a small table has shingles to put off, too

@@ -33,3 +33,17 @@ def test_without_any_setting(tmp_path):
     env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_") and k != "PYSPARK_GATEWAY_PORT" and k != "PYSPARK_GATEWAY_SECRET"}
     done = subprocess.run([sys.executable, "-c", code], cwd=REPO, env=env | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=180)
     assert not done.returncode, done.stderr[-2000:]
+
+
+def test_a_stage_leaves_no_shuffle_files(spark, tmp_path):
+    """They pile up otherwise until the driver collects garbage."""
+    code = (
+        "import os, sys, time; from lodestone import staging; from lodestone.session import local_session; s = local_session(1); "
+        "n = lambda: sum(f.startswith('shuffle_') for _, _, x in os.walk(sys.argv[1]) for f in x); "
+        "d = staging.stage(s.range(99).groupBy('id').count(), 'x'); time.sleep(3); assert n() == 0, n(); assert d.count() == 99; "
+        "assert s.conf.get('spark.sql.classic.shuffleDependency.fileCleanup.enabled') == 'false'; staging.drop(d, s.range(2)); "
+        "assert not [x for x in os.listdir(staging.session_dir(s).removeprefix('file://')) if x.startswith('x-')]"
+    )
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_") and k != "PYSPARK_GATEWAY_PORT" and k != "PYSPARK_GATEWAY_SECRET"}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path)], cwd=REPO, env=env | {"SPARK_LOCAL_DIRS": str(tmp_path)}, capture_output=True, text=True, timeout=180)
+    assert not done.returncode, done.stderr[-2000:]
