@@ -18,11 +18,11 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.frames import map_rows
 from ..staging import stage
 from .checks import first_violation, running_budget
 
@@ -78,11 +78,6 @@ def members(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
             key = [unicodedata.normalize("NFKC", p).casefold() for p in parts]
             yield (archive_id, i, m.orig_filename, m.orig_filename == m.filename, key, m.flag_bits, m.compress_type, m.external_attr, m.file_size, m.compress_size, None)
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [r for a, c in zip(frame.archive_id, frame.content) for r in listed(a, c)]
-            yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None) if found else pd.DataFrame(columns=names)
-
     # the content of archives that are too large is not read; a reader may have left it out
     large = F.octet_length("content") > limits.archive_bytes
     if "oversized" in archives.columns:
@@ -90,7 +85,7 @@ def members(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
     large = F.coalesce(large, F.lit(False))
     kept = archives.select("archive_id", F.when(~large, F.col("content")).alias("content"), large.alias("large"))
     large = kept.where("large").select("archive_id", *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in MEMBERS.split(", ")[1:-1]], F.lit("archive_too_large").alias("archive_error"))
-    return kept.where("not large").select("archive_id", "content").mapInPandas(rows, MEMBERS).unionByName(large)
+    return map_rows(kept.where("not large").select("archive_id", "content"), listed, MEMBERS, names).unionByName(large)
 
 
 def checked_members(found: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -184,12 +179,7 @@ def contents(archives: DataFrame, accepted: DataFrame, limits: Limits = Limits()
         except BROKEN:
             yield (archive_id, at, None, None, None, None, "invalid_archive")
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [r for a, c, p in zip(frame.archive_id, frame.content, frame.plan) for r in read(a, c, p)]
-            yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None) if found else pd.DataFrame(columns=names)
-
-    return archives.select("archive_id", "content").join(plan, "archive_id").mapInPandas(rows, CONTENTS)
+    return map_rows(archives.select("archive_id", "content").join(plan, "archive_id").select("archive_id", "content", "plan"), read, CONTENTS, names)
 
 
 def validate(archives: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,10 @@ import io
 import zipfile
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.frames import map_rows
+
 #: Source by archive and path.  Lines that are findings end in a comment with the rule's category.
 PROJECTS: dict[str, dict[str, str]] = {
     "models": {
@@ -143,21 +144,17 @@ def _locked(data: bytes) -> bytes:
 def archives_from(pages: DataFrame) -> DataFrame:
     """(archive_id, content): an archive for each page (page_id, html), whose kind and blank lines follow from page_id, with the page's text."""
 
-    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for page_id, html in zip(frame.page_id, frame.html):
-                files, out = KINDS[page_id % len(KINDS)], io.BytesIO()
-                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    for name, source in (files or {}).items():
-                        packed = zipfile.ZIP_DEFLATED if len(source) > LARGE else zipfile.ZIP_STORED
-                        z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source, packed)
-                    z.writestr(zipfile.ZipInfo(NOTE, (2020, 1, 1, 0, 0, 0)), html or "", zipfile.ZIP_STORED)
-                data = _locked(out.getvalue()) if page_id % len(KINDS) == ENCRYPTED else out.getvalue()
-                rows.append((f"p{page_id}", data if files is not None else b"plain text"))
-            yield pd.DataFrame(rows, columns=["archive_id", "content"])
-
-    return pages.select("page_id", "html").mapInPandas(made, "archive_id string, content binary")
+    def made(page_id: int, html: str | None) -> Iterator[tuple]:
+        files, out = KINDS[page_id % len(KINDS)], io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, source in (files or {}).items():
+                packed = zipfile.ZIP_DEFLATED if len(source) > LARGE else zipfile.ZIP_STORED
+                z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), "\n" * (page_id % SHIFTS) + source, packed)
+            z.writestr(zipfile.ZipInfo(NOTE, (2020, 1, 1, 0, 0, 0)), html or "", zipfile.ZIP_STORED)
+        data = _locked(out.getvalue()) if page_id % len(KINDS) == ENCRYPTED else out.getvalue()
+        yield f"p{page_id}", data if files is not None else b"plain text"
+
+    return map_rows(pages.select("page_id", "html"), made, "archive_id string, content binary", ["archive_id", "content"])
 
 
 def archives(spark: SparkSession) -> DataFrame:
