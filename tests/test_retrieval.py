@@ -1,8 +1,11 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.vectors import dot as vectors_dot
 from lodestone.operators import bm25, dense, fusion, metrics
 from lodestone.plans import retrieval
 
@@ -79,6 +82,26 @@ def test_dense_search_in_blocks_of_queries(spark):
     assert sorted(map(tuple, dense.search(points, queries, 3, most=9).collect())) == want and len(want) == 121
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_dense_search_equals_the_plain_one_by_blocks(spark, monkeypatch, odd):
+    """Copies, near ties, other sizes and, if odd, vectors with a null, a NaN or a huge number; no row pairs but of odd ones."""
+    draw = random.Random(5)
+    vectors = [[draw.uniform(-1, 1) for _ in range(6)] for _ in range(40)]
+    vectors += vectors[:5] * 6 + [[x + draw.choice([0, 1e-13, 1e-9]) for x in vectors[0]] for _ in range(20)] + [[1.0, 2.0], [0.5, 0.25]]
+    vectors += [[1.0, None, 0.0, 0.0, 0.0, 1.0], [float("nan")] * 6, [1e200] * 6, [], None] if odd else []
+    points = spark.createDataFrame([(1000 - i, v) for i, v in enumerate(vectors)], "doc_id long, embedding array<double>")
+    queries = points.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    for name, n in (("PART", 30), ("BLOCK", 7), ("TILE", 2)):
+        monkeypatch.setattr(dense, name, n)
+    met = points.join(F.broadcast(queries.withColumnRenamed("embedding", "asked")), F.size("embedding") == F.size("asked"))
+    met = met.select("query_id", "doc_id", F.round(vectors_dot(F.col("embedding"), F.col("asked")), 9).alias("score"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    want = met.withColumn("rank", F.row_number().over(by)).where("rank <= 8").selectExpr("query_id", "cast(rank as bigint) rank", "doc_id", "score")
+    if not odd:
+        monkeypatch.setattr(dense, "dot", lambda *_: pytest.fail("a row-by-row comparison"))
+    assert sorted(map(str, dense.search(points, queries).collect())) == sorted(map(str, want.collect()))
+
+
 def ranking(spark, ids, scores=None, text="t"):
     rows = [(0, i + 1, d, 1.0 - i / 10, text) for i, d in enumerate(ids)]
     return spark.createDataFrame(rows, "query_id long, rank long, doc_id string, score double, text string")
