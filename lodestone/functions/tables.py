@@ -16,4 +16,9 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows; otherwise Spark shuffles and splits skewed keys."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    return F.broadcast(df) if is_small(df, rows) else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df marked for joins that shuffle: Spark's estimate leaves out what explode() adds, and so may broadcast a table of any size."""
+    return df.hint("merge")

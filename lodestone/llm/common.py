@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import shuffled
 from ..staging import checkpoint_dir, drop, drop_staged, stage
 
-__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "WORD", "checkpoint_dir", "drop", "drop_staged", "n_words", "running", "small_batches", "stage", "within_bound"]
+__all__ = ["ARROW_ROWS", "BROADCAST_ROWS", "WORD", "checkpoint_dir", "drop", "drop_staged", "n_words", "running", "shuffled", "small_batches", "stage", "within_bound"]
 
 #: A word, in Java's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,11 +31,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def within_bound(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; otherwise as it is, and joins shuffle.
+    """df, marked for broadcast if it has at most so many rows; otherwise for joins that shuffle.
 
     Counts df, so stage it before.  Shuffled joins leave hot keys to AQE, which splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else shuffled(df)
 
 
 def running(df: DataFrame, order: Sequence[Column | str], amount: Column, name: str = "before", rows: int = RANGE_ROWS) -> DataFrame:

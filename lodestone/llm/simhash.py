@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import small_batches, stage, within_bound
+from .common import shuffled, small_batches, stage, within_bound
 from .components import components
 
 SEGMENTS, WIDTH = 4, 16
@@ -67,7 +67,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
         chain = chain + F.expr(f"bit_count(shiftrightunsigned(fp ^ fp2, {WIDTH} * ((i + {step}) % {SEGMENTS})) & {(1 << WIDTH) - 1})")
     near = (chain <= 2) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= most)
     once = F.col("flipped") | (F.col("fp") < F.col("fp2"))
-    met = left.join(right, "key").where(once & near)
+    met = left.join(shuffled(right), "key").where(once & near)
     return met.select(F.col("fp").alias("u"), F.col("fp2").alias("v"))
 
 
@@ -82,11 +82,11 @@ def _grouped(docs: DataFrame) -> DataFrame:
     marked = stage(docs.select("doc_id", text_hash(F.col("text")).alias("tie"), _fingerprints(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = stage(components(links(distinct)), "roots")
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = distinct.join(shuffled(roots), distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.where("node is not null").groupBy("root").agg(F.min("first").alias("least"))
     # one row a fingerprint; a fingerprint of very many copies is a skewed key on the other side alone, which AQE splits
-    named = labelled.join(least, "root", "left").select("fp", "root", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(named, "fp")
+    named = labelled.join(shuffled(least), "root", "left").select("fp", "root", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(shuffled(named), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     kept = rows.groupBy("root").agg(best).select("best.doc_id", "best.tie")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (text_hash(F.col("d.text")) == F.col("k.tie"))
     # most rows stay, so the kept ids grow with the input: both sides are sorted, which spills where memory is short
-    out = docs.alias("d").join(kept.alias("k").hint("merge"), same, "left_semi")
+    out = docs.alias("d").join(shuffled(kept.alias("k")), same, "left_semi")
     repeated = stage(rows.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     if not repeated.limit(1).count():
         return out

@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone import staging
-from lodestone.llm import components, fingerprints, lines, mixing, packing, resembling, shards, simhash
+from lodestone.functions import tables
+from lodestone.llm import common, components, fingerprints, lines, mixing, packing, resembling, shards, simhash
 from lodestone.llm.bytebpe import encoder
 
 WORDS = [f"word{i}" for i in range(300)]
@@ -66,6 +67,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_joins_that_grow_with_the_input_are_never_broadcast(spark):
+    # Spark's estimate leaves out what explode() adds: the driver had to hold 36 rows of each fingerprint
+    distinct = staging.stage(spark.range(200).selectExpr("xxhash64(id) as fp", "id as first"), "fingerprints")
+    for df in (simhash.links(distinct), components._star(distinct.selectExpr("fp as u", "first as v"), large=True)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tables_beyond_the_bound_shuffle(spark):
+    ids, both = staging.stage(spark.range(60), "ids"), ((tables.if_small, 50), (common.within_bound, 50))
+    for mark, rows in both:
+        assert "SortMergeJoin" in ids.join(mark(ids, rows), "id")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in ids.join(mark(ids, 100), "id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_equal_brute_force(make, odd):
     rng = random.Random(3)
     rows = list(odd)
