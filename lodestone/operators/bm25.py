@@ -70,16 +70,18 @@ def search(docs: DataFrame, queries: DataFrame, top_k: int = MAX_TOP_K, k1: floa
     vocabulary = asked.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     keys = list(dict.fromkeys(["doc_id", order]))
     read = docs.select(*keys, tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    # a document's tokens go to one task, as they are, so that its terms and its scores for all queries are summed up there without another shuffle
+    read = read.repartition(*keys)
     # explode_outer, as a filter on explode's input would find the tokens twice
     hits = read.select(*keys, "dl", F.explode_outer(F.concat(F.array(F.lit("")), "tokens")).alias("term")).join(keyed(vocabulary), "term")
     tf = hits.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
-    # all three need the counts, so they share one shuffle
+    # all three need the counts, and share the shuffle of the tokens
     own = (F.col("term") == "") & (F.col("tf") > 0)
     stats = tf.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("dl"))).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     scored = tf.join(keyed(df), "term").join(F.broadcast(stats)).join(keyed(asked), "term")  # stats is one row
     scored = scored.withColumn("part", idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b))
-    # partial sums before the shuffle; their order moves a sum by about 1e-14, which rounding takes away
+    # the order of the parts moves a sum by about 1e-14, which rounding takes away
     ranked = scored.groupBy("query_id", *keys).agg(F.round(F.sum("part"), DIGITS).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), *keys[::-1])
     top = ranked.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top_k)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -195,3 +196,13 @@ def test_rendered_query(spark):
     got = [r.t for r in row.select(retrieval.rendered_query(*[F.col(x) for x in "coaq"]).alias("t")).collect()]
     assert got[0] == "Pydantic v1 to v2 migration. Rule category: Pydantic model configuration migration. Legacy API or concept: a b. Question: why"
     assert "AST context: c. Question: y" in got[1]
+
+
+def test_scores_are_summed_up_where_a_documents_tokens_are(spark):
+    docs = spark.createDataFrame([(i, f"term{i % 7} common word{i}") for i in range(40)] + [(None, "common"), (3, "common term3")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common term3"), (2, "word5")], "query_id long, text string")
+    found = bm25.search(docs, asked)
+    # a row for each query and document that has one of its terms was shuffled
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", found._jdf.queryExecution().executedPlan().toString())
+    first = [r for r in found.collect() if r.rank == 1]
+    assert [(r.query_id, r.doc_id) for r in sorted(first)] == [(1, 3), (2, 5)]
