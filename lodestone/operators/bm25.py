@@ -5,6 +5,9 @@ A document's length is known where it is read, so only the occurrences of query
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +25,40 @@ def check_parameters(top_k: int, k1: float = K1, b: float = B) -> None:
         raise ValueError("k1 must be above 0 and b from 0 to 1")
 
 
+def counted(read: DataFrame, ids: list[str], *more: str) -> DataFrame:
+    """(ids, more, term, tf) of read (ids, more, tokens): how often those of equal ids and more have each term.
+
+    A row whose ids no other row has is counted where it is read, without a shuffle: its tokens are sorted, so that equal ones stand
+    together.  Tokens are shuffled of rows that share their ids only.
+    """
+    columns = [*ids, *more]
+
+    def alone(df: DataFrame) -> DataFrame:
+        own = df.select(*columns, F.sort_array("tokens").alias("tokens"))
+        # how many tokens there are up to the last of each term; get() finds null outside
+        last = F.transform("tokens", lambda t, i: F.when(~t.eqNullSafe(F.get("tokens", i + 1)), i + 1))
+        own = own.select(*columns, "tokens", F.array_compact(last).alias("ends"))
+        one = lambda end, i: F.struct(F.get("tokens", end - 1).alias("term"), (end - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("tf"))
+        return own.select(*columns, F.inline_outer(F.transform("ends", one))).where("term is not null")
+
+    def together(df: DataFrame) -> DataFrame:
+        terms = df.select(*columns, F.explode_outer("tokens").alias("term")).where("term is not null")
+        return terms.groupBy(*columns, "term").agg(F.count("*").alias("tf"))
+
+    # of the rows only the ids are read and shuffled
+    shared = read.groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"shared_{c}") for c in ids])
+    if shared.isEmpty():
+        return alone(read)
+    if not is_small(shared):
+        return together(read)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"shared_{c}")) for c in ids])  # null ids are one id
+    pick = lambda how: read.join(F.broadcast(shared), same, how)
+    return alone(pick("left_anti")).unionByName(together(pick("left_semi")))
+
+
 def term_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf): how often each document has each term."""
-    terms = docs.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return counted(docs.select(key, tokens(F.col(text)).alias("tokens")), [key])
 
 
 def document_frequencies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
