@@ -16,16 +16,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.tables import if_small
+from ..functions.tables import if_small, is_small, shuffled
 from ..functions.text import tokens
 from ..staging import stage
-from .bm25 import DIGITS, MAX_TOP_K, B, K1, check_parameters, idf, query_terms, weight
+from .bm25 import DIGITS, MAX_TOP_K, B, K1, check_parameters, counted, idf, query_terms, weight
 
 #: Buckets of terms, documents of a block on average, and blocks of each query that are scored first.
 BUCKETS, BLOCK, SEEDS = 64, 64, 16
+#: Blocks of a bucket that may be in one file, and whose documents' terms a task of the build gets at most on average.
+PART, TASK = 512, 32
 #: Sums in another order differ by less.
 SLACK = 1e-6
 VERSION = 1
+#: The fields of an entry.
+ENTRY = ("doc_id", "at", "dl", "tf")
 
 
 @dataclass(frozen=True)
@@ -65,16 +69,15 @@ def build(docs: DataFrame, path: str, k1: float = K1, b: float = B, order: str =
     read = docs.select(*keys, tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     n_docs, avgdl = read.agg(F.count("*"), F.avg("dl")).first()
     blocks = max(1, -(-n_docs // block))
-    hits = read.select(*keys, "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
-    tf = hits.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
     own = weight(F.col("tf"), F.col("dl"), F.lit(float(avgdl or 0.0)), float(k1), float(b))
     entry = F.struct(F.col("doc_id"), F.col(order).alias("at"), "dl", "tf")
-    rows = tf.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    rows = rows.groupBy("term", "block").agg(F.max(own).alias("most"), F.count("*").alias("n"), F.collect_list(entry).alias("entries"))
-    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-    # a term's blocks may lie in several files, so a term of all documents is no one task's
-    by = ["bucket", "term", "block"]
-    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(f"{path}/{version}/postings")
+    rows = counted(read, keys, "dl").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    # the only shuffle: a task gets some buckets' terms of some blocks, so that a term of all documents is no one task's, and a bucket has few files
+    parts, tasks = -(-blocks // PART), max(spark.sparkContext.defaultParallelism, -(-blocks // TASK))
+    rows = rows.withColumn("part", F.col("block") % parts).repartition(tasks, "bucket", "part")
+    rows = rows.groupBy("bucket", "part", "term", "block").agg(F.max(own).alias("most"), F.count("*").alias("n"), F.collect_list(entry).alias("entries")).drop("part")
+    rows = rows.select("term", "block", "most", "n", "entries", "bucket")
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{version}/postings")
     postings = spark.read.schema(rows.schema).parquet(f"{path}/{version}/postings")
     df = postings.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     df.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/{version}/terms")
@@ -117,10 +120,18 @@ def bounds(index: Index, terms: DataFrame) -> DataFrame:
 def scored(index: Index, terms: DataFrame, blocks: DataFrame) -> DataFrame:
     """(query_id, doc_id, at, score): the exact scores of the documents of each query's blocks (query_id, block)."""
     some = blocks.select("query_id", "block")
-    met = _wanted(index, terms, ["entries"]).join(if_small(some), ["query_id", "block"])
-    each = met.select("query_id", "idf", F.inline("entries"))
+    if is_small(some):
+        met = _wanted(index, terms, ["entries"]).join(F.broadcast(some), ["query_id", "block"])
+    else:
+        # postings are shuffled once, not once a query, as arrays of numbers; a document is in one block, whose task sums up its scores for all queries
+        flat = [F.col(f"entries.{c}").alias(f"{c}s") for c in ENTRY]
+        found = _wanted(index, terms.select("bucket", "term").distinct(), ["entries"]).select("bucket", "term", "block", *flat)
+        asking = some.groupBy("block").agg(F.collect_list("query_id").alias("queries"))
+        met = found.join(shuffled(asking), "block").join(if_small(terms), ["bucket", "term"]).where(F.array_contains("queries", F.col("query_id")))
+        met = met.withColumn("entries", F.arrays_zip(*[F.col(f"{c}s").alias(c) for c in ENTRY]))
+    each = met.select("block", "query_id", "idf", F.inline("entries").alias(*ENTRY))
     part = F.col("idf") * weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl), index.k1, index.b)
-    return each.groupBy("query_id", "doc_id", "at").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    return each.groupBy("block", "query_id", "doc_id", "at").agg(F.round(F.sum(part), DIGITS).alias("score")).drop("block")
 
 
 def plan_blocks(index: Index, terms: DataFrame, top_k: int, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
